@@ -34,7 +34,7 @@ WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "other", "letter")
 
 #: Least code points for the character classes, least words for the common words, and the limits.
-MIN_CHARS, MIN_WORDS, CLASS_LIMIT, WORD_LIMIT, SUPPORT = 200, 50, 0.30, 0.62, 50
+MIN_CHARS, MIN_WORDS, CLASS_LIMIT, WORD_LIMIT, SUPPORT = 400, 50, 0.32, 0.62, 50
 
 
 def _classes() -> np.ndarray:
@@ -47,7 +47,7 @@ def _classes() -> np.ndarray:
 def features(docs: DataFrame, window: int = 5) -> DataFrame:
     """doc_id, lang, the base counts, and the two histograms of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
 
     def run(batches):
         table, lead, sign = _classes(), np.ones(256, bool), np.zeros(256, bool)
@@ -94,6 +94,7 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
                         out["n_repeat_words"][k] = (np.cumsum(marks) > 0).sum()
                 doc = np.repeat(np.arange(n), np.diff(at))
                 shown = chars & (table[own] != 255)
+                out["n_chars"] = per(shown)
                 cls = np.bincount(doc[shown] * len(CLASSES) + table[own[shown]], minlength=n * len(CLASSES)).reshape(n, -1)
                 bare = ends - ((own[ends - 1] == 0x2E) | (own[ends - 1] == 0x2C)) if len(ends) else ends
                 low = fingerprints(LOWER[own], starts, bare)
@@ -106,10 +107,6 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, {' long, '.join(counts)} long, classes array<int>, words array<int>")
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of any totals; null if one is empty."""
     sp, sq = F.aggregate(p, F.lit(0.0), lambda s, x: s + x), F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
@@ -121,19 +118,19 @@ def js_distance(p: Column, q: Column) -> Column:
 
 def references(found: DataFrame) -> DataFrame:
     """For each language the summed histograms, in millionths of each document's; lang null: the whole corpus."""
-    chars = _sum(F.col("classes"))
+    totals = {"classes": F.col("n_chars"), "words": F.col("n_words")}
 
     def sums(name: str, n: int, enough: Column) -> list[Column]:
-        total = _sum(F.col(name))
+        total = totals[name]
         return [F.sum(F.when(enough, F.floor(F.col(name)[k].cast("double") * 1_000_000 / total)).otherwise(0)).alias(f"{name}{k}") for k in range(n)]
 
-    long_enough = {"classes": chars >= MIN_CHARS, "words": F.col("n_words") >= MIN_WORDS}
+    long_enough = {"classes": F.col("n_chars") >= MIN_CHARS, "words": F.col("n_words") >= MIN_WORDS}
     each = found.groupBy(F.coalesce("lang", F.lit("")).alias("language")).agg(
         *sums("classes", len(CLASSES), long_enough["classes"]), *sums("words", len(WORDS) + 1, long_enough["words"]),
-        F.sum(F.when(long_enough["classes"], 1).otherwise(0)).alias("n_classes"), F.sum(F.when(long_enough["words"], 1).otherwise(0)).alias("n_words"),
+        F.sum(F.when(long_enough["classes"], 1).otherwise(0)).alias("docs_classes"), F.sum(F.when(long_enough["words"], 1).otherwise(0)).alias("docs_words"),
     )
     pick = lambda f: [F.array(*(f(F.col(f"{name}{k}")) for k in range(n))).alias(f"ref_{name}") for name, n in (("classes", len(CLASSES)), ("words", len(WORDS) + 1))]
-    return each.select("language", *pick(lambda c: c.cast("double")), "n_classes", "n_words"), each.agg(*pick(lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")))
+    return each.select("language", *pick(lambda c: c.cast("double")), "docs_classes", "docs_words"), each.agg(*pick(lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -141,10 +138,10 @@ def judge(docs: DataFrame) -> DataFrame:
     found = written(features(docs), "quality")
     own, whole = references(found)
     own = written(own.crossJoin(F.broadcast(whole.select(F.col("ref_classes").alias("all_classes"), F.col("ref_words").alias("all_words")))), "references")  # one row
-    ref = own.select("language", *(F.when(F.col(f"n_{k}") >= SUPPORT, F.col(f"ref_{k}")).otherwise(F.col(f"all_{k}")).alias(f"ref_{k}") for k in ("classes", "words")))
+    ref = own.select("language", *(F.when(F.col(f"docs_{k}") >= SUPPORT, F.col(f"ref_{k}")).otherwise(F.col(f"all_{k}")).alias(f"ref_{k}") for k in ("classes", "words")))
     joined = found.withColumn("language", F.coalesce("lang", F.lit(""))).join(ref, "language")
     histogram = lambda k: F.transform(k, lambda x: x.cast("double"))
-    class_js = F.when(_sum(F.col("classes")) >= MIN_CHARS, js_distance(histogram("classes"), F.col("ref_classes")))
+    class_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(histogram("classes"), F.col("ref_classes")))
     word_js = F.when(F.col("n_words") >= MIN_WORDS, js_distance(histogram("words"), F.col("ref_words")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), class_js.alias("class_js"), word_js.alias("word_js"))

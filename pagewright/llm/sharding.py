@@ -19,7 +19,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._scratch import written
@@ -60,11 +59,21 @@ def _place(node: _Node, of) -> Column:
     return F.when(_goes_left(node.keys, node.cut), _place(node.left, of)).otherwise(_place(node.right, of))
 
 
+def _values(table: DataFrame, rows: list[tuple], kinds: str) -> DataFrame:
+    """A small table from literals."""
+    sql = lambda x: "null" if x is None else f"array({', '.join(map(str, x))})" if isinstance(x, list) else str(x)
+    columns = [x.split() for x in kinds.split(", ")]
+    lines = ", ".join(f"({', '.join(map(sql, r))})" for r in rows) or f"({', '.join('null' for _ in columns)})"
+    names = ", ".join(f"_c{i}" for i in range(len(columns)))
+    casts = ", ".join(f"CAST(_c{i} AS {kind}) AS {name}" for i, (name, kind) in enumerate(columns))
+    return table.sparkSession.sql(f"SELECT {casts} FROM VALUES {lines} AS t({names})")
+
+
 def _cuts(table: DataFrame, root: _Node, nodes: list[_Node], together: float) -> None:
     """Find the cut of every node, a histogram for all of them in each round."""
-    spark = table.sparkSession
+    names = nodes[0].keys
     at = {id(n): k for k, n in enumerate(nodes)}
-    rows = table.withColumn("_node", _place(root, lambda n: at.get(id(n), -1))).where("_node >= 0")
+    rows = table.select(_place(root, lambda n: at.get(id(n), -1)).cast("int").alias("_node"), "_weight", F.array(*names).alias("_keys"))
     want = {k: n.weight * (n.shards // 2) / n.shards for k, n in enumerate(nodes)}
     below = dict.fromkeys(want, 0)
     bounds: dict[int, tuple[int, int] | None] = {k: n.span for k, n in enumerate(nodes)}
@@ -73,24 +82,18 @@ def _cuts(table: DataFrame, root: _Node, nodes: list[_Node], together: float) ->
         state = []
         for k in sorted(going):
             n = nodes[k]
-            state.append((k, n.keys[len(n.cut)], *(bounds[k] or (None, None))))
-        test, key, low, high = F.lit(False), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        for k, name, a, b in state:  # few nodes: one for each shard at most
-            mine = F.col("_node") == k
-            own = mine
-            for q, v in zip(nodes[k].keys, nodes[k].cut):
-                own = own & (F.col(q) == F.lit(v))
-            if a is not None:
-                own = own & F.col(name).between(a, b)
-            test = test | own
-            key = F.when(mine, F.col(name)).otherwise(key)
-            low, high = F.when(mine, F.lit(a).cast("long")).otherwise(low), F.when(mine, F.lit(b).cast("long")).otherwise(high)
+            low, high = bounds[k] or (None, None)
+            state.append((k, [names.index(x) for x in n.keys], n.cut, low, high))
+        asked = F.broadcast(_values(table, state, "_node int, _order array<int>, _cut array<bigint>, _low bigint, _high bigint"))  # a row a node
+        mine = F.transform("_order", lambda i: F.get("_keys", i))
+        own = rows.join(asked, "_node").withColumn("_mine", mine).where(F.slice("_mine", 1, F.size("_cut")) == F.col("_cut"))
+        own = own.select("_node", "_weight", "_low", "_high", F.get("_mine", F.size("_cut")).alias("_key")).where(F.col("_low").isNull() | F.col("_key").between(F.col("_low"), F.col("_high")))
         # doubles are exact enough for buckets: bounds come from the keys found in them
-        bucket = F.when(low.isNull(), F.lit(0)).otherwise(F.least(F.lit(BUCKETS - 1), F.floor((key - low).cast("double") * BUCKETS / ((high - low).cast("double") + 1))))
+        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_key") - F.col("_low")).cast("double") * BUCKETS / ((F.col("_high") - F.col("_low")).cast("double") + 1)))
         found: dict[int, list] = {}
-        for r in rows.where(test).groupBy("_node", bucket.alias("_bucket")).agg(F.sum("_weight").alias("w"), F.min(key).alias("a"), F.max(key).alias("b")).collect():
+        for r in own.groupBy("_node", F.coalesce(bucket, F.lit(0)).alias("_bucket")).agg(F.sum("_weight").alias("w"), F.min("_key").alias("a"), F.max("_key").alias("b")).collect():
             found.setdefault(r["_node"], []).append((r["_bucket"], r["w"], r["a"], r["b"]))
-        for k, _, a, _ in state:
+        for k, _, _, a, _ in state:
             n = nodes[k]
             for _, w, x, y in sorted(found[k]):
                 if a is None or below[k] + w >= want[k]:
@@ -147,8 +150,7 @@ def shard(rows: DataFrame, shards: int, dimensions: list[str], weight: str, row_
     for s, k in sorted(counts):
         offsets.append((s, k, before[s]))
         before[s] += counts[s, k]
-    kind = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("_salt", T.IntegerType()), T.StructField("_before", T.LongType())])
-    base = table.sparkSession.createDataFrame(offsets, kind)  # shards * SALTS rows at most
+    base = _values(table, offsets, "shard int, _salt int, _before bigint")  # shards * SALTS rows at most
     own = Window.partitionBy("shard", "_salt").orderBy("_id", *keys)
     return placed.join(F.broadcast(base), ["shard", "_salt"]).withColumn("slot", F.col("_before") + F.row_number().over(own) - 1).select(*rows.columns, "shard", "slot")
 
