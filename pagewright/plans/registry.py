@@ -20,3 +20,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def _load() -> None:
+    from . import text_queries  # noqa: F401
+
+
+_load()
