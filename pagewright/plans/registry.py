@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import text_queries  # noqa: F401
+    from . import geometry_queries, text_queries  # noqa: F401
 
 
 _load()
