@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -90,19 +91,19 @@ def number_paragraphs(rows: DataFrame, by: list[str], order: list[str]) -> DataF
     return isle.withColumn("n", n).drop("_isle")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_nfd(texts: pd.Series) -> pd.Series:
     """Lower-cased letters and digits without accents (canonical decomposition)."""
     keep = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if c.isalpha() or unicodedata.category(c)[0] == "N")
     return texts.map(keep)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
