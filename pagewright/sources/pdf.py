@@ -432,6 +432,8 @@ class PdfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known; its reader takes pushed filters, which the session must allow."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PdfSource)
 
 
