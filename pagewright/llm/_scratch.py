@@ -34,10 +34,15 @@ def fresh(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    A collection on the driver afterwards lets Spark's cleaner delete the step's shuffle files,
+    which it does once the finished plan is garbage.
+    """
     spark = df.sparkSession
     path = fresh(spark, tag)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,16 +8,17 @@
    Frequencies come from all documents: a token counts where a task holds it ``LOCAL`` times,
    and the ``FREQUENT`` most frequent of these are kept, which bounds what tasks load.
 3. Classes with equal prefix and size are collapsed into one group. Groups that share a prefix
-   token form a bucket; buckets with the same members are one, which removes most.
-4. A bucket is expanded to its members, with their whole sets, and verified in blocks of
-   ``BLOCK_ROWS``: a task takes two blocks at most, whatever a bucket's size. Intersections are counted
+   token, and one of two size bands, form a bucket: sets whose sizes allow a link share a band.
+   Buckets with the same members are one; buckets with a group in common are one cluster.
+4. A cluster is expanded to its members, with their whole texts, and verified in blocks of
+   ``BLOCK_ROWS``: a task takes two blocks at most, whatever a cluster's size. Intersections are counted
    exactly, by matrix products for tokens that many members share. A block yields a spanning
    forest of its links, never all pairs; that keeps the components, which are the result.
 
 Edge cases: null text, and text without words, has an empty set and links with nothing, so each
 such row is its own component; a text of fewer than n words has its whole sequence as one
-shingle; repeated rows are copies; rows with a null id link like others but can't name a
-component (a class of nulls only has none); an empty table gives an empty result.
+shingle; repeated rows are copies; ids may repeat with different texts; rows with a null id link
+like others but can't name a component (a component of nulls only has none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,17 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._scratch import written
+from ._scratch import drop, written
 from ._words import blocks, raw, shingle_sets
 from .components import components
 
 LOCAL = 8
 FREQUENT = 1 << 17
 BLOCK_ROWS = 1024
+SHARED = 16
 _BITS = 18
+_NULL = -(1 << 63)
+
+
+def shared_tokens(size: int) -> int:
+    """How many prefix tokens two linked sets share at least; it grows with the size."""
+    return max(1, min(SHARED, size // 4))
 
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -93,13 +102,12 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         tokens, rank = shared.value
         for batch in batches:
             for i, sets in _sets(batch, 1, n):
-                size, one, two, prefix = [], [], [], []
+                size, marks, prefix = [], [], []
                 for x in sets:
                     s = len(x)
                     size.append(s)
-                    one.append(int(np.bitwise_xor.reduce(x * np.uint64(0x9FB21C651E98DF25) ^ (x >> np.uint64(29)))) if s else 0)
-                    two.append(int(x.sum(dtype=np.uint64)))
-                    first = s - -(-s * num // den) + 1 if s else 0
+                    marks.append(_marks(x))
+                    first = min(s, s - -(-s * num // den) + shared_tokens(s)) if s else 0
                     head = x
                     if len(tokens) and s:
                         at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
@@ -110,9 +118,8 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                             head = np.concatenate([head, late[: first - len(head)]])
                     prefix.append(head[:first].view(np.int64))
                 cuts = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-                signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(sets)), pa.array(size, pa.int64()), signed(one), signed(two), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefix)))],
+                    [batch.column(0).slice(i, len(sets)), pa.array(size, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefix)))],
                     ["doc_id", "n_shingles", "one", "two", "prefix"],
                 )
 
@@ -170,58 +177,87 @@ def _forest(sets: list[np.ndarray], sizes: np.ndarray, split: int, num: int, den
     return out
 
 
-def _verified(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within buckets; members: bucket, rep, many. Whole sets travel once a bucket and block pair."""
+def _verified(members: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) within buckets; members: bucket, rep, many; texts: rep, text, one, two.
+
+    A bucket's texts travel once for each pair of blocks, and become sets where they arrive; a text
+    whose set isn't its class's (ids may repeat) is left out.
+    """
     wide = F.ceil(F.col("many") / F.lit(BLOCK_ROWS)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), wide).cast("int")
-    dealt = members.withColumn("_n", wide).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.select("bucket", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), "_mine", "rep").join(sets, "rep")
+    dealt = members.withColumn("_n", wide).withColumn("_mine", mine).join(texts, "rep").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select("bucket", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), "_mine", "rep", "text", "one", "two")
 
     def run(key, table):
         low, high = key[1].as_py(), key[2].as_py()
-        own = table.column("_mine").to_numpy()
-        order = np.argsort(own, kind="stable")
-        reps = table.column("rep").to_numpy()[order]
-        held = table.column("tokens").combine_chunks()
-        sets = [np.frombuffer(held[int(k)].as_buffer(), np.int64) for k in order]
-        split = int((own == low).sum()) if high > low else 0
-        pairs = _forest(sets, np.array([len(x) for x in sets]), split, num, den) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([reps[a] for a, _ in pairs], pa.int64()), "b": pa.array([reps[b] for _, b in pairs], pa.int64())})
+        own, reps, one, two = (table.column(c).to_pylist() for c in ("_mine", "rep", "one", "two"))
+        sets = []
+        buf, offs = raw(table.column("text"))
+        for i, j in blocks(offs):
+            sets += shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
+        good = sorted((k for k, x in enumerate(sets) if _marks(x) == (one[k], two[k])), key=lambda k: own[k])
+        kept = [sets[k] for k in good]
+        split = sum(own[k] == low for k in good) if high > low else 0
+        pairs = _forest(kept, np.array([len(x) for x in kept]), split, num, den) if len(kept) > 1 else []
+        return pa.table({"a": pa.array([reps[good[a]] for a, _ in pairs], pa.int64()), "b": pa.array([reps[good[b]] for _, b in pairs], pa.int64())})
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _token_sets(docs: DataFrame, n: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for i, sets in _sets(batch, 1, n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "tokens"])
+def _marks(x: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint of a set, as two signed 64-bit integers."""
+    if not len(x):
+        return 0, 0
+    one, two = np.bitwise_xor.reduce(x * np.uint64(0x9FB21C651E98DF25) ^ (x >> np.uint64(29))), x.sum(dtype=np.uint64)
+    return int(one.view(np.int64)), int(two.view(np.int64))
+
 
-    return docs.mapInArrow(run, "rep long, tokens binary")
+def _bands(num: int, den: int) -> Column:
+    """The two size bands of a set: sets whose sizes allow a link share one of them."""
+    band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
+    return F.array(band, band + 1)
 
 
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two link when den * common >= num * union."""
-    spark = docs.sparkSession
     table = written(_prefixes(docs.select("doc_id", "text"), n, num, den), "prefixes")
     full = table.where("n_shingles > 0")
-    reps = full.where("doc_id IS NOT NULL").groupBy("one", "two", "n_shingles").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("prefix").alias("prefix"))
-    reps = written(reps.withColumn("grp", F.xxhash64("prefix", "n_shingles")), "classes")
+    same = ["one", "two", "n_shingles"]
+    reps = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.first("prefix").alias("prefix"))
+    reps = written(reps.withColumn("grp", F.xxhash64("prefix", "n_shingles")).withColumn("rep", F.xxhash64(*same)), "classes")
     groups = reps.groupBy("grp").agg(F.count("*").alias("many"), F.min("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
     entries = groups.select("grp", "many", "size", F.explode("prefix").alias("token"))
-    tokens = entries.groupBy("token").agg(
-        F.sum("many").alias("many"), F.bit_xor(F.xxhash64("grp")).alias("x"), F.sum(F.shiftright(F.xxhash64("grp", F.lit(1)), 20)).alias("y"), F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("groups")
-    )
-    # A bucket of one class has no pair; one of two groups whose sizes differ too much has none either.
-    tokens = tokens.where((F.col("many") > 1) & ~((F.col("groups") == 2) & (F.col("many") == 2) & (den * F.col("low") < num * F.col("high"))))
-    buckets = written(tokens.groupBy("x", "y", "many").agg(F.min("token").alias("token")).select("token", "many"), "buckets")
-    members = entries.select("token", "grp").join(buckets, "token").join(reps.select("grp", "rep"), "grp").select(F.col("token").alias("bucket"), "rep", "many")
-    members = written(members, "members")
-    wanted = members.select("rep").distinct()
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    sets = written(_token_sets(texts, n).dropDuplicates(["rep"]), "sets")
-    found = components(_verified(members, sets, num, den))
-    named = reps.select("one", "two", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    linked = table.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two", "n_shingles"], "left")
+    # A bucket of one class has no pair. One exchange by token counts and keeps in the same pass.
+    shared = entries.withColumn("_all", F.sum("many").over(Window.partitionBy("token"))).where("_all > 1").drop("_all")
+    # Prefix buckets by size: documents that share a passage but not their length part here.
+    banded = shared.withColumn("band", F.explode(_bands(num, den)))
+    bucket = Window.partitionBy("token", "band")
+    banded = banded.withColumn("_all", F.sum("many").over(bucket)).where("_all > 1").drop("_all")
+    # Linked sets share several prefix tokens of one band; a set with fewer left there has no link.
+    lower = F.ceil(F.col("size") * num / F.lit(den))
+    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(lower / 4)))
+    banded = banded.withColumn("_left", F.count("*").over(Window.partitionBy("grp", "band"))).where(F.col("_left") >= enough).drop("_left")
+    banded = written(banded, "entries")
+    member = F.xxhash64("grp", "size")
+    kept = banded.groupBy("token", "band").agg(F.sum("many").alias("many"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(F.xxhash64("size", "grp"), 20)).alias("y")).where("many > 1")
+    # Buckets with the same members are one.
+    kept = written(kept.groupBy("x", "y", "many").agg(F.min(F.struct("token", "band")).alias("t")).select("t.token", "t.band", "many"), "buckets")
+    # Buckets that share a group make one cluster, so that a text travels once, not once a bucket.
+    held = written(banded.select("token", "band", "grp").join(kept, ["token", "band"]).select(F.xxhash64("token", "band").alias("bucket"), "grp"), "held")
+    first = F.min("grp").over(Window.partitionBy("bucket"))
+    clusters = components(held.select("grp", first.alias("first")).where("grp <> first").select(F.col("grp").alias("a"), F.col("first").alias("b")))
+    placed = held.select("grp").distinct().join(clusters.withColumnRenamed("node", "grp"), "grp", "left").select("grp", F.coalesce("component", "grp").alias("bucket"))
+    members = reps.select("grp", "rep").join(placed, "grp").select("bucket", "rep")
+    members = written(members.join(members.groupBy("bucket").agg(F.count("*").alias("many")), "bucket"), "members")
+    wanted = members.select("rep").distinct().join(reps.select("rep", "least", "one", "two"), "rep")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("least"), "text").join(wanted.withColumn("least", F.coalesce("least", F.lit(_NULL))), "least")
+    links = written(_verified(members, texts.select("rep", "text", "one", "two"), n, num, den), "links")
+    for done in (banded, kept, held, members):
+        drop(docs.sparkSession, done)
+    found = components(links)
+    named = reps.select(*same, "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.select(*same, "component").join(least, "component").select(*same, "component_id")
+    linked = table.select("doc_id", *same).join(named, same, "left")
     alone = F.col("n_shingles") == 0
     return linked.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
