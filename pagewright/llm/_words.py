@@ -104,17 +104,18 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int, lower: bool = True)
     """For each row its distinct n-word shingles as ascending 64-bit tokens.
 
     A row of fewer words has its whole sequence as its one shingle; a row without words has none.
-    A token's top 6 bits hold the inverted length of the shingle, so that long ones, which
-    are rarer, come first; the other 58 bits are its fingerprint.
+    A token's top 6 bits hold the inverted length of the shingle's words, so that long ones, which
+    are rarer, come first; the other 58 bits are its fingerprint. White space has no part in either.
     """
     if lower:
         buf = LOWER[buf]
     starts, ends, row = cut(buf, offs)
     h = fingerprints(buf, starts, ends)
     first = np.searchsorted(row, np.arange(len(offs)))
+    ink = np.concatenate([[0], np.cumsum(ends - starts)])
     g = grams(h, n)
     if len(g):
-        g = _token(g, ends[n - 1 :] - starts[: len(g)])
+        g = _token(g, ink[n:] - ink[: len(g)])
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= n:
@@ -123,11 +124,11 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int, lower: bool = True)
             np.not_equal(x[1:], x[:-1], out=keep[1:])
             out.append(x[keep])
         elif b > a:
-            out.append(_token(grams(h[a:b], int(b - a)) ^ np.uint64(b - a), ends[b - 1 : b] - starts[a : a + 1]))
+            out.append(_token(grams(h[a:b], int(b - a)) ^ np.uint64(b - a), ink[b : b + 1] - ink[a : a + 1]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def _token(g: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return ((np.uint64(63) - np.minimum(span >> 1, 63).astype(np.uint64)) << np.uint64(58)) | (g >> np.uint64(6))
+def _token(g: np.ndarray, ink: np.ndarray) -> np.ndarray:
+    return ((np.uint64(63) - np.minimum(ink >> 1, 63).astype(np.uint64)) << np.uint64(58)) | (g >> np.uint64(6))

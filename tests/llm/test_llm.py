@@ -193,6 +193,19 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert collections.Counter(map(tuple, jaccard_join.join(table, 3, 90, 100).collect())) == components(rows, 3, 90, 100)
 
 
+def test_jaccard_spacing(spark):
+    """Copies that differ in white space alone are copies; a shingle counts once whatever its spacing."""
+    base = prose(90).split()
+    gaps = ["  ", "\t", "\r\n", "\n\n", " \x0b ", "\f    "]
+    rows = [(0, " ".join(base))] + [(k + 1, g.join(base)) for k, g in enumerate(gaps)]
+    rows += [(10, "".join(w + rng.choice(gaps) for w in base)), (11, "aa bb cc  aa\tbb\r\ncc"), (12, "aa bb cc aa bb cc"), (13, "aa \t bb"), (14, "aa bb")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, num in ((3, 90), (5, 80)):
+        got = collections.Counter(map(tuple, jaccard_join.join(table, n, num, 100).collect()))
+        assert got == components(rows, n, num, 100)
+        assert {c for d, _, c in got if d <= 10} == {0}
+
+
 def test_suffix_dedup(docs, none):
     distinct = sorted({r[:2] for r in ROWS if r[1]}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     place = collections.defaultdict(list)
