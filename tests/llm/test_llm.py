@@ -306,6 +306,24 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def clean(n, lang="en"):
+    """Invented prose, a quarter of it common words."""
+    common = quality.COMMON[lang].split()
+    return " ".join(rng.choice(common) if k % 4 == 0 else rng.choice(VOCAB) for k in range(n))
+
+
+def test_quality_histograms_alone(spark):
+    """Each histogram rejects planted junk that the other one and the base rule let through."""
+    coded = lambda k: "".join(rng.choices("0123456789#$", k=5)) if k % 4 else rng.choice(quality.COMMON["en"].split())
+    rows = [(k, clean(300)) for k in range(80)] + [(100 + k, prose(300)) for k in range(4)] + [(200 + k, " ".join(map(coded, range(300)))) for k in range(4)]
+    found = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(d, t, "en", "s", 0, 7) for d, t in rows], SCHEMA)).collect()}
+    assert all(r.kept for d, r in found.items() if d < 100) and not any(r.base_failed for r in found.values())
+    for d, r in found.items():
+        if d >= 100:
+            assert not r.kept
+            assert (r.word_js > quality.WORD_LIMIT, r.class_js > quality.CLASS_LIMIT) == ((True, False) if d < 200 else (False, True))
+
+
 def test_words_cut_at_rows_and_spaces():
     texts = ["ab", "cd  e\x0bf", "", "x" * 5000 + " y", "é à"]
     buf, offs = _words.raw(pa.array(texts))
