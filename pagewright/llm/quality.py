@@ -4,8 +4,8 @@ Each document has a histogram of character classes and one of common words (all
 bin). A language's reference is the mean of its documents' normalised histograms, over all
 documents long enough for the histogram to count. A document goes where its Jensen-Shannon
 distance (root of the divergence in bits, 0 to 1) from its language's reference exceeds a limit;
-shorter documents are not judged by that histogram. Languages with fewer than ``SUPPORT`` such
-documents take the reference of the whole corpus.
+shorter documents are not judged by that histogram. A language with fewer than ``SUPPORT`` such
+documents has no reference: its distances are null and only the base rule judges its documents.
 
 Edge cases: null or empty text has no words, so it fails the base rule; a null language is a
 language of its own; repeated rows are judged alike; an empty table gives an empty result.
@@ -118,7 +118,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """For each language the summed histograms, in millionths of each document's; lang null: the whole corpus."""
+    """For each language the summed histograms, in millionths of each document's; null without SUPPORT."""
     totals = {"classes": F.col("n_chars"), "words": F.col("n_words")}
 
     def sums(name: str, n: int, enough: Column) -> list[Column]:
@@ -130,16 +130,14 @@ def references(found: DataFrame) -> DataFrame:
         *sums("classes", len(CLASSES), long_enough["classes"]), *sums("words", len(WORDS) + 1, long_enough["words"]),
         F.sum(F.when(long_enough["classes"], 1).otherwise(0)).alias("docs_classes"), F.sum(F.when(long_enough["words"], 1).otherwise(0)).alias("docs_words"),
     )
-    pick = lambda f: [F.array(*(f(F.col(f"{name}{k}")) for k in range(n))).alias(f"ref_{name}") for name, n in (("classes", len(CLASSES)), ("words", len(WORDS) + 1))]
-    return each.select("language", *pick(lambda c: c.cast("double")), "docs_classes", "docs_words"), each.agg(*pick(lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")))
+    pick = [F.when(F.col(f"docs_{name}") >= SUPPORT, F.array(*(F.col(f"{name}{k}").cast("double") for k in range(n)))).alias(f"ref_{name}") for name, n in (("classes", len(CLASSES)), ("words", len(WORDS) + 1))]
+    return each.select("language", *pick)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, class_js, word_js, kept."""
     found = written(features(docs), "quality")
-    own, whole = references(found)
-    own = written(own.crossJoin(F.broadcast(whole.select(F.col("ref_classes").alias("all_classes"), F.col("ref_words").alias("all_words")))), "references")  # one row
-    ref = own.select("language", *(F.when(F.col(f"docs_{k}") >= SUPPORT, F.col(f"ref_{k}")).otherwise(F.col(f"all_{k}")).alias(f"ref_{k}") for k in ("classes", "words")))
+    ref = written(references(found), "references")
     joined = found.withColumn("language", F.coalesce("lang", F.lit(""))).join(ref, "language")
     histogram = lambda k: F.transform(k, lambda x: x.cast("double"))
     class_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(histogram("classes"), F.col("ref_classes")))

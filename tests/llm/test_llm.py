@@ -324,6 +324,19 @@ def test_quality_histograms_alone(spark):
             assert (r.word_js > quality.WORD_LIMIT, r.class_js > quality.CLASS_LIMIT) == ((True, False) if d < 200 else (False, True))
 
 
+def test_quality_small_language(spark):
+    """A language without a reference of its own has no distance, and keeps its clean documents."""
+    letters = "абвгдежзиклмнопрст"
+    russian = lambda: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(200))
+    rows = [(k, clean(300), "en") for k in range(60)]
+    for n in (1, quality.SUPPORT - 1, quality.SUPPORT):
+        table = [*rows, *((1000 + k, russian(), "ru") for k in range(n)), (2000, "a b c d e f " * 40, "xx")]
+        found = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(d, t, lang, "s", 0, 7) for d, t, lang in table], SCHEMA)).collect()}
+        assert all(found[1000 + k].kept for k in range(n)) and not found[2000].kept
+        own = n >= quality.SUPPORT
+        assert (found[1000].word_js is not None) == own and found[0].word_js is not None
+
+
 def test_words_cut_at_rows_and_spaces():
     texts = ["ab", "cd  e\x0bf", "", "x" * 5000 + " y", "é à"]
     buf, offs = _words.raw(pa.array(texts))
