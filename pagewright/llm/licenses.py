@@ -1,15 +1,19 @@
 """Licence scan with DataFrame functions only.
 
 A multinomial logistic regression over sparse word n-grams (one and two words) names the licence
-family of a paragraph (a line of the text). It is fitted on the driver from the notices below and
+family of a paragraph: a line of the text, or neighbouring lines where a notice is wrapped (blank
+lines aside). It is fitted on the driver from the notices below and
 variants made of them, and from plain sentences that use the same words; nothing is taken from
 the corpus. A held-out share of the variants sets the temperature, so that probabilities are
 calibrated; the unknown class wins below ``LEAST``. A prediction stands only if a template of the
 family confirms it: ``CONFIRM`` of the template's word pairs, version numbers aside, must occur.
+Runs of lines are taken around every stem as long as the lines between first and last hold fewer
+than ``REACH`` words, more than any template. Of overlapping ones the most similar stands, then the shortest; a
+single line only gives way to a run of its own family.
 
 A paragraph without any of ``STEMS`` has no feature, in training and in use, which is the unknown
 class by construction; so such paragraphs are left out before any work on words, without loss. No shuffle moves text: only the scores of n-grams that
-occur are summed for each paragraph.
+occur are summed for each paragraph, and only paragraphs with enough pairs of templates are kept.
 
 Edge cases: null or empty text has no paragraph; repeated paragraphs are each reported; rows with
 null ids are scanned like others; two rows alike in id and text are reported once; an empty table
@@ -26,6 +30,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import written
+
 LEAST = 0.5
 CONFIRM = 0.6
 #: Licence vocabulary, family notices, and plain sentences.
@@ -52,6 +58,8 @@ PLAIN = (
     "wealth was redistributed by new taxes", "the public domain of roads and squares", "cc the manager on every message", "permission slips are due on friday", "his licence was revoked in may", "water rights of the village",
 )
 FAMILIES = ("unknown", *TEMPLATES)
+#: Half as many words again as the longest template has.
+REACH = 3 * max(len(t.split()) for v in TEMPLATES.values() for t in v) // 2
 _CUT = r"[^a-z0-9]+"
 _FOUND = "(?i)" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in STEMS)
 
@@ -119,22 +127,56 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))))
 
 
+def _runs(docs: DataFrame) -> DataFrame:
+    """doc_id, uid, and first line, last line and words of every run of lines that may hold a notice."""
+    stem = lambda words: F.array_join(words, " ").rlike(_FOUND)
+    inked = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), _words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+    held = docs.where(F.col("text").rlike(_FOUND)).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), inked.alias("lines"))
+    # A stem lies in a line or across the end of one.
+    near_stem = F.filter(F.transform("lines", lambda x, i: F.when(stem(F.concat(x["words"], F.coalesce(F.get("lines", i + 1)["words"], F.array().cast("array<string>")))), i)), lambda i: i.isNotNull())
+    hot = held.select("doc_id", "uid", "lines", F.explode(near_stem).alias("k"))
+
+    def reach(part: Column) -> Column:
+        """How many lines come before REACH words are full."""
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+        return F.aggregate(part, start, lambda s, x: F.when(s["words"] < REACH, F.struct((s["words"] + F.size(x["words"])).alias("words"), (s["lines"] + 1).alias("lines"))).otherwise(s))["lines"]
+
+    before = F.slice("lines", F.greatest(F.lit(1), F.col("k") + 1 - REACH), F.least(F.col("k"), F.lit(REACH)))
+    around = hot.withColumn("left", reach(F.reverse(before))).withColumn("right", reach(F.slice("lines", F.col("k") + 2, F.lit(REACH))))
+    around = around.select("doc_id", "uid", "left", "right", F.slice("lines", F.col("k") + 1 - F.col("left"), F.col("left") + F.col("right") + 1).alias("near"))
+    inner = lambda i, j: F.aggregate(F.slice("near", i + 2, F.greatest(j - i - 1, F.lit(0))), F.lit(0), lambda s, x: s + F.size(x["words"]))
+    ends = lambda i: F.filter(F.sequence(F.col("left"), F.col("left") + F.col("right")), lambda j: inner(i, j) < REACH)
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("left")), lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    runs = around.select("doc_id", "uid", "near", F.explode(spans).alias("span")).select("doc_id", "uid", F.slice("near", F.col("span.i") + 1, F.col("span.j") - F.col("span.i") + 1).alias("run"))
+    return runs.select("doc_id", "uid", F.get("run", F.lit(0))["at"].alias("paragraph"), F.element_at("run", -1)["at"].alias("last"), F.size("run").alias("n_lines"), F.flatten(F.transform("run", lambda x: x["words"])).alias("words")).where(stem(F.col("words")))
+
+
+def _apart(hits: Column) -> Column:
+    """The hits that no better one overlaps, best first; a single line only gives way to its own family."""
+    meets = lambda x, y: (x["paragraph"] <= y["last"]) & (y["paragraph"] <= x["last"]) & ((x["n_lines"] > 1) | (x["family"] == y["family"]))
+    return F.aggregate(hits, F.slice(hits, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Confirmed licence paragraphs: doc_id, paragraph (from 0), family, probability, similarity."""
+    """Confirmed licence paragraphs: doc_id, paragraph (its first line, from 0), family, probability, similarity."""
     spark = docs.sparkSession
     grams, w, b, heat = model()
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(grams, w)], "gram string, weight array<double>")
-    templates = spark.createDataFrame([(k, sorted({" ".join(p) for p in zip(t, t[1:])})) for k, v in TEMPLATES.items() for t in map(tokens, v)], "family string, pairs array<string>")
-    lines = docs.where(F.col("text").rlike(_FOUND)).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike(_FOUND)).select("doc_id", "uid", "paragraph", _words(F.col("line")).alias("words")).dropDuplicates(["uid", "paragraph"])
-    rows = lines.select("doc_id", "uid", "paragraph", "words", _pairs(F.col("words")).alias("own"))
-    found = rows.select("uid", "paragraph", F.explode(F.array_union("own", F.array_distinct("words"))).alias("gram")).join(F.broadcast(weights), "gram")  # the model's n-grams, some hundreds
-    sums = found.groupBy("uid", "paragraph").agg(F.array(*(F.sum(F.col("weight")[k]) + float(b[k]) for k in range(len(FAMILIES)))).alias("z"))
+    pairs = [(k, sorted({" ".join(p) for p in zip(t, t[1:])})) for k, v in TEMPLATES.items() for t in map(tokens, v)]
+    templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
+    known, least = F.array(*map(F.lit, sorted({p for _, x in pairs for p in x}))), min(int(np.ceil(CONFIRM * len(x))) for _, x in pairs)
+    rows = _runs(docs).withColumn("own", _pairs(F.col("words"))).where(F.size(F.array_intersect("own", known)) >= least)
+    key = ["uid", "paragraph", "last"]
+    rows = written(rows.dropDuplicates(key), "paragraphs")
+    found = rows.select(*key, F.explode(F.array_union("own", F.array_distinct("words"))).alias("gram")).join(F.broadcast(weights), "gram")  # the model's n-grams, some hundreds
+    sums = found.groupBy(*key).agg(F.array(*(F.sum(F.col("weight")[k]) + float(b[k]) for k in range(len(FAMILIES)))).alias("z"))
     top = F.array_max("z")
     share = F.transform("z", lambda v: F.exp((v - top) / heat))
-    named = sums.select("uid", "paragraph", F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position("z", top) - 1).cast("int")).alias("family"), (1 / F.aggregate(share, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
+    named = sums.select(*key, F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position("z", top) - 1).cast("int")).alias("family"), (1 / F.aggregate(share, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
     named = named.where((F.col("probability") >= LEAST) & (F.col("family") != "unknown"))
-    both = rows.select("doc_id", "uid", "paragraph", "own").join(named, ["uid", "paragraph"]).join(F.broadcast(templates), "family")  # some dozens
+    both = rows.select("doc_id", *key, "n_lines", "own").join(named, key).join(F.broadcast(templates), "family")  # some dozens
     alike = F.size(F.array_intersect("own", "pairs")) / F.size("pairs")
-    best = both.groupBy("doc_id", "uid", "paragraph", "family", "probability").agg(F.max(alike).alias("similarity"))
-    return best.where(F.col("similarity") >= CONFIRM).select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+    best = both.groupBy("doc_id", *key, "n_lines", "family", "probability").agg(F.max(alike).alias("similarity")).where(F.col("similarity") >= CONFIRM)
+    hits = best.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "n_lines", "paragraph", "last", "family", "probability"))).alias("hits"))
+    out = hits.select("doc_id", F.explode(_apart(F.col("hits"))).alias("x"))
+    return out.select("doc_id", "x.paragraph", "x.family", F.round("x.probability", 6).alias("probability"), F.round(-F.col("x.order"), 6).alias("similarity"))

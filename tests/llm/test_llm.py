@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -286,6 +287,24 @@ def test_licences(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licences_wrapped(spark):
+    """Notices wrapped at any width, with comment marks, are found once each beside single lines."""
+    notices = [(k, t) for k in ("BSD", "ISC", "GPL", "MIT", "LGPL") for t in licenses.TEMPLATES[k] if len(t) > 90]
+    rows, want = [], {}
+    for family, t in notices:
+        for width in (25, 40, 72, 80):
+            for mark, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n")):
+                d = len(rows)
+                rows.append((d, prose(8) + end + mark + end + end.join(mark + x for x in textwrap.wrap(t, width)) + end + end + prose(12)))
+                want[d] = family
+    rows.append((5000, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\n" + prose(9)))
+    found = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r.doc_id].append((r.paragraph, r.family))
+    assert {d: [(2, f)] for d, f in want.items()} == {d: x for d, x in found.items() if d < 5000}
+    assert sorted(found[5000]) == [(0, "Apache"), (1, "MIT")]
+
+
 def test_quality(docs, none):
     def base(t):
         t = t or ""
