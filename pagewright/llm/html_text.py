@@ -39,7 +39,9 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 _TOKEN = re.compile(r"""[^<]+|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<""", re.S)
-_UNSHOWN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|\S*))?""")
+_MAYBE = re.compile(r"hidden|none|&", re.I)
+_STYLE = re.compile(r"(?:^|[;{])\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"""\bstart\s*=\s*["']?(-?\d+)""")
 _SPAN = re.compile(r"""\bcolspan\s*=\s*["']?(\d{1,3})""")
@@ -110,6 +112,17 @@ def tree(source: str) -> Node:
     return root
 
 
+def _unshown(node: Node) -> bool:
+    """Whether attributes hide the element."""
+    if not node.attrs or not _MAYBE.search(node.attrs):
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(node.attrs):
+        value = m[2] or ""
+        found.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return "hidden" in found or bool(_STYLE.search(found.get("style", ""))) or node.tag == "input" and found.get("type", "").lower() == "hidden"
+
+
 def _list_item(node: Node, marker: str) -> list[str]:
     lines = layout(node)
     pad = " " * len(marker)
@@ -118,7 +131,7 @@ def _list_item(node: Node, marker: str) -> list[str]:
 
 def _rows(node: Node):
     for c in node.children:
-        if isinstance(c, Node) and not _UNSHOWN.search(c.attrs):
+        if isinstance(c, Node) and not _unshown(c):
             if c.tag == "tr":
                 yield c
             elif c.tag in ("thead", "tbody", "tfoot"):
@@ -131,7 +144,7 @@ def _table(node: Node) -> list[str]:
     for row in _rows(node):
         cells, column = [], 0
         for c in row.children:
-            if isinstance(c, Node) and c.tag in ("td", "th") and not _UNSHOWN.search(c.attrs):
+            if isinstance(c, Node) and c.tag in ("td", "th") and not _unshown(c):
                 span = _SPAN.search(c.attrs) if c.attrs else None
                 cells.append((column, layout(c)))
                 column += max(1, int(span[1])) if span else 1
@@ -195,7 +208,7 @@ def layout(node: Node, pre: bool = False) -> list[str]:
             tag = c.tag
             if tag == "br":
                 inline.append("\n" if keep else "\0")
-            elif tag in UNSEEN or c.attrs and _UNSHOWN.search(c.attrs):
+            elif tag in UNSEEN or _unshown(c):
                 continue
             elif tag == "li":
                 flush(keep)

@@ -270,6 +270,14 @@ def test_html():
     assert html_text.render("<div>" * 5000 + "deep") == "deep" and html_text.render("a < b") == "a < b"
 
 
+def test_html_hidden():
+    """Only attributes by name hide an element, never words in other attributes' values."""
+    for shown in ('title="the hidden gem of Rome"', "aria-label='Show hidden files'", 'data-type="hidden"', 'type="hidden"', 'data-style="display:none"', "title='style=\"display:none\"'", "class=hidden-xs", 'style="color:red"'):
+        assert html_text.render(f"<body><div {shown}>x<p>y</div>z") == "x\n\ny\nz", shown
+    for hides in ("hidden", "HIDDEN", 'hidden=""', 'title="a" hidden', "style=display:none", 'style="color:red; Display : none"', "style='visibility:hidden'"):
+        assert html_text.render(f"<div {hides}>x<p>y</div>z") == "z", hides
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, "u", None), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in html_text.extract(pages).collect()) == [("1", "a"), ("1", "a"), ("None", "")]
