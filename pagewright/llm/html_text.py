@@ -39,6 +39,10 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 _TOKEN = re.compile(r"""[^<]+|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<""", re.S)
+#: An opening tag of a table part ends all that is open within the closest of these; and table parts alone end across a cell.
+CONTEXT = {"td": "tr thead tbody tfoot table", "th": "tr thead tbody tfoot table", "tr": "thead tbody tfoot table", "thead": "table", "tbody": "table", "tfoot": "table"}
+CONTEXT = {k: frozenset(v.split()) for k, v in CONTEXT.items()}
+PARTS = frozenset("table thead tbody tfoot tr td th caption body html".split())
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|\S*))?""")
 _MAYBE = re.compile(r"hidden|none|&", re.I)
 _STYLE = re.compile(r"(?:^|[;{])\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
@@ -91,7 +95,7 @@ def tree(source: str) -> Node:
                     else:  # an inline element ends across blocks, which stay open
                         del stack[k]
                     break
-                if stack[k].tag in ("td", "th", "table") and tag not in BLOCK:
+                if stack[k].tag in ("td", "th", "table") and tag not in PARTS:
                     break
             continue
         if stack[-1].tag == "head" and tag not in HEAD:
@@ -100,6 +104,10 @@ def tree(source: str) -> Node:
             close(frozenset(("p",)), frozenset(("td", "th", "table", "button")))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
+        if tag in CONTEXT:
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in CONTEXT[tag]), None)
+            if k is not None:
+                del stack[k + 1 :]
         node = Node(tag, m[3] or "")
         stack[-1].children.append(node)
         if tag in RAW:
@@ -138,6 +146,23 @@ def _rows(node: Node):
                 yield from _rows(c)
 
 
+def _loose(node: Node):
+    """What a table, section or row holds beside its parts; each row's own apart."""
+    for c in node.children:
+        if isinstance(c, str):
+            yield c
+        elif c.tag in ("thead", "tbody", "tfoot") and node.tag != "tr":
+            if not _unshown(c):
+                yield from _loose(c)
+        elif c.tag == "tr" and node.tag != "tr":
+            if not _unshown(c):
+                row = Node("div")
+                row.children = list(_loose(c))
+                yield row
+        elif not (c.tag in ("td", "th") and node.tag == "tr" or c.tag == "caption" and node.tag == "table"):
+            yield c
+
+
 def _table(node: Node) -> list[str]:
     grid: list[list[tuple[int, list[str]]]] = []
     head = [x for c in node.children if isinstance(c, Node) and c.tag == "caption" for x in layout(c)]
@@ -149,9 +174,8 @@ def _table(node: Node) -> list[str]:
                 cells.append((column, layout(c)))
                 column += max(1, int(span[1])) if span else 1
         grid.append(cells)
-    loose = [c for c in node.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"))]
     stray = Node("div")
-    stray.children = loose
+    stray.children = list(_loose(node))
     head = layout(stray) + head  # text put beside the rows is shown before the table
     width: dict[int, int] = {}
     for cells in grid:

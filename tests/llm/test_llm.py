@@ -278,6 +278,16 @@ def test_html_hidden():
         assert html_text.render(f"<div {hides}>x<p>y</div>z") == "z", hides
 
 
+def test_html_beside_cells():
+    """Text of rows and sections outside cells is shown before the table, and cells stay cells."""
+    for page, text in (
+        ("<table><tr><form><td>x</td></form><td>y</tr><tr><td>z</table>", "x  y\nz"), ("<table><tr>note<td>x</table>", "note\nx"), ("<table><tbody><b>note</b><tr><td>x</table>", "note\nx"),
+        ("<table><tr>one<td>x<tr>two<td>y</table>", "one\ntwo\nx\ny"), ("<form><table><tr><form><td>x</td></form><td>y</table>z</form>", "x  y\n\nz"), ("<table><tr><center><th>a<th>b</center><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><td>x</td></tbody></table>", "x"), ("<table><colgroup>c<tr><td>x</table>", "c\nx"), ("<table><tr hidden>no<td>no<tr><td>x</table>", "x"), ("<table><tbody hidden>no<tr><td>no</table>x", "x"),
+    ):
+        assert html_text.render(page) == text, page
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, "u", None), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in html_text.extract(pages).collect()) == [("1", "a"), ("1", "a"), ("None", "")]
