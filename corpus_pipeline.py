@@ -38,12 +38,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies (five words, 0.8).
 
-    Documents with an empty set are in no group. Of rows alike in id and text one stays; rows with
-    a null id are compared only with one another's exact text.
+    Rows are joined by their fingerprints, so each has its own verdict where ids are null or repeat; a
+    null id comes last in its group. Documents with an empty set are in no group. Of rows alike in id and
+    text one stays.
     """
-    found = jaccard_join.join(docs, 5, 80, 100).where("doc_id <> component_id")
-    gone = written(found.select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("_uid", _uid())
+    found = jaccard_join.join(_as_rows(docs), 5, 80, 100).select(F.col("doc_id").alias("_uid"), "component_id").distinct()
+    named = written(docs.select("doc_id", _uid().alias("_uid")).distinct().join(found, "_uid"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid"))["_uid"].alias("_uid"))
+    kept = _without(docs, named.join(first, "_uid", "left_anti").select(F.col("_uid").alias("doc_id"))).withColumn("_uid", _uid())
     return kept.dropDuplicates(["doc_id", "_uid"]).select(docs.columns)
 
 

@@ -381,6 +381,20 @@ def test_words_cut_at_rows_and_spaces():
     assert [(r, bytes(buf[a:b]).decode()) for a, b, r in zip(starts, ends, row)] == [(k, w) for k, t in enumerate(texts) for w in WORD.findall(t)]
 
 
+def test_pipeline_near_duplicates(spark):
+    """One row of each group stays, whichever rows share an id or have none."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(100) for _ in range(4))
+    near = lambda t: t + " tail"
+    stay = [(1, a), (5, b), (6, c), (None, d), (7, ""), (8, None)]
+    go = [(5, near(a)), (6, near(c)), (None, a), (None, near(b)), (None, near(d)), (1, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 7) for k, t in stay + go], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    group = lambda x: next((k for k, t in enumerate((a, b, c, d)) if x and x.startswith(t)), x)
+    assert sorted((str(k), str(group(t))) for k, t in got) == sorted((str(k), str(group(t))) for k, t in stay)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
