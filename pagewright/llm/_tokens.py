@@ -2,8 +2,8 @@
 
 The vocabulary's pre-tokenizer never lets a piece hold white space, so a text's ids are the
 concatenation of the ids of its runs between ASCII white space. Each distinct run is encoded
-once per worker and remembered (``CACHE`` runs at most; later ones are encoded anew each
-time). In a run of Latin letters and signs the pre-tokenizer's pieces are its runs of letters
+once and remembered by the worker, in two generations of ``CACHE`` bytes at most: when the
+young one is full it becomes the old one, and what the old one held goes. In a run of Latin letters and signs the pre-tokenizer's pieces are its runs of letters
 and of others; their normalised forms go straight to the library's BPE model. All other runs
 take the whole library path, special tokens included.
 """
@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 
 from ._words import LOWER, SPACE, raw
 
-CACHE = 800_000
+CACHE = 12 << 20
+_ENTRY = 200  # bytes of two small byte strings and a slot, beside their content
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 #: Without digits, apostrophes and rarer characters only two rules cut: letters, and runs of others.
@@ -62,6 +63,8 @@ class WordEncoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -70,6 +73,18 @@ class WordEncoder(dict):
         self.letters = [_byte_letters()[b] for b in range(256)]
 
     def __missing__(self, run: bytes) -> bytes:
+        out = self.old.get(run)
+        if out is None:
+            out = self._encode(run)
+        self.held += _ENTRY + len(run) + len(out)
+        if self.held > CACHE:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[run] = out
+        return out
+
+    def _encode(self, run: bytes) -> bytes:
         if run.isalpha() and run.islower():  # ASCII letters
             out = array("I", [t.id for t in self.bpe(run.decode())]).tobytes()
         else:
@@ -79,8 +94,6 @@ class WordEncoder(dict):
                 out = self._piece(text) if len(pieces) == 1 else b"".join([self[x.encode()] for x in pieces])
             else:
                 out = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) < CACHE:
-            self[run] = out
         return out
 
     def _piece(self, piece: str) -> bytes:

@@ -9,7 +9,8 @@ a block (``BLOCK`` bytes, or one longer text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> None:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those for a block stay, longer ones (of one long text) don't."""
     global _POW, _NEG
-    if len(_POW) < n:
-        size = max(n, BLOCK + 1)
-        for name, base in (("_POW", _BASE), ("_NEG", _INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            globals()[name] = np.cumprod(x)
+    if len(_POW) >= n:
+        return _POW, _NEG
+    both = []
+    for base in (_BASE, _INV):
+        x = np.full(max(n, BLOCK + 1), base, np.uint64)
+        x[0] = 1
+        both.append(np.cumprod(x))
+    if n <= BLOCK + 1:
+        _POW, _NEG = both
+    return both[0], both[1]
+
+
+def freeing(run: Callable) -> Callable:
+    """A ``mapInArrow`` function that hands Arrow's unused memory back when its task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +100,10 @@ def cut(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def fingerprints(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit fingerprint for each word."""
-    _powers(len(buf) + 1)
+    power, inverse = _powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _POW[: len(buf)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * _NEG[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=total[1:])
+    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     for k in np.flatnonzero(ends - starts > LONG):
         h[k] = np.uint64(xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes()))
     return h

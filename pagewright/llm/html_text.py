@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._words import freeing
+
 DEPTH = 200
 
 # The element classes of the HTML standard that matter for layout.
@@ -281,4 +283,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [render(x) for x in batch.column(1).slice(k, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array([x.count("\n") + 1 if x else 0 for x in texts], pa.int64())], ["page_id", "text", "n_chars", "n_lines"])
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, text string, n_chars long, n_lines long")
+    return pages.select("page_id", "html").mapInArrow(freeing(run), f"page_id {kind}, text string, n_chars long, n_lines long")

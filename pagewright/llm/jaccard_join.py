@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._scratch import drop, written
-from ._words import blocks, raw, shingle_sets
+from ._words import blocks, freeing, raw, shingle_sets
 from .components import components
 
 LOCAL = 8
 FREQUENT = 1 << 17
 BLOCK_ROWS = 1024
 SHARED = 16
+#: Tokens that a task counts at a time: 12 MB.
+HELD = 1_500_000
 _BITS = 18
 _NULL = -(1 << 63)
 
@@ -81,12 +83,12 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 counts += np.bincount(place(x), minlength=1 << _BITS).astype(np.int32)
                 held.append(x)
                 size += len(x)
-                if size >= 4_000_000:  # 32 MB
+                if size >= HELD:
                     yield flush()
         if size:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "token long, many long").groupBy("token").agg(F.sum("many").alias("many"))
+    counted = docs.select("text").mapInArrow(freeing(run), "token long, many long").groupBy("token").agg(F.sum("many").alias("many"))
     rows = counted.orderBy(F.desc("many"), "token").limit(FREQUENT).collect()  # FREQUENT rows at most
     tokens = np.array([r["token"] for r in rows[::-1]], np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -123,7 +125,7 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     ["doc_id", "n_shingles", "one", "two", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, one long, two long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, n_shingles long, one long, two long, prefix array<long>")
 
 
 def _forest(sets: list[np.ndarray], sizes: np.ndarray, split: int, num: int, den: int) -> list[tuple[int, int]]:

@@ -31,12 +31,11 @@ from pyspark.sql.window import Window
 
 from ._scratch import written
 from ._tokens import default_vocabulary, encoder
-from ._words import blocks, raw
+from ._words import blocks, freeing, raw
 
 CAPACITY = 2048
 GROUPS = 128
 SALTS = 32
-_TEXTS = 8 << 20
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -48,7 +47,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             offs = raw(batch.column(1))[1]
-            for i, j in blocks(offs, _TEXTS):
+            for i, j in blocks(offs):
                 ids, cuts = enc.column(batch.column(1).slice(i, j - i))
                 flat, cuts = ids.tobytes(), cuts.tolist()
                 row, piece, start, length, crc = [], [], [], [], []
@@ -66,7 +65,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, np.ndarray]]:
@@ -230,7 +229,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
             more = [pa.array(sequence + (rank - first) // each), pa.array(offset + (rank - first) % each * n)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in schema.fields[:-2]), *more], schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(freeing(run), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:

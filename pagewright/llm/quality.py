@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import written
-from ._words import LOWER, SPACE, blocks, cut, fingerprints, grams, raw
+from ._words import LOWER, SPACE, blocks, cut, fingerprints, freeing, grams, raw
 
 # Symbols of the base rule, and common words of four languages.
 SYMBOLS = b"#*$%&|<>"
@@ -105,7 +105,7 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
                 arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.int32).ravel()), x.shape[1]).cast(pa.list_(pa.int32())) for x in (cls, wrd)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), *(pa.array(out[k], pa.int64()) for k in counts), *arrays], ["doc_id", "lang", *counts, "classes", "words"])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, {' long, '.join(counts)} long, classes array<int>, words array<int>")
+    return docs.select("doc_id", "lang", "text").mapInArrow(freeing(run), f"doc_id {kind}, lang string, {' long, '.join(counts)} long, classes array<int>, words array<int>")
 
 
 def js_distance(p: Column, q: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import blocks, raw
+from ._words import blocks, freeing, raw
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -144,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
         find = automaton()
         for batch in batches:
             buf, offs = raw(batch.column(1))
-            for i, j in blocks(offs, 4 << 20):
+            for i, j in blocks(offs):
                 own, cuts = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 flat = own.tobytes()
                 hits: dict[int, list[tuple[int, str]]] = {}
@@ -167,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(spans, kinds)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:

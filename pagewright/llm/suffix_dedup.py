@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._scratch import written
-from ._words import _INV, _BASE, blocks, cut, fingerprints, mix, raw
+from ._words import _BASE, _INV, blocks, cut, fingerprints, freeing, mix, raw
 
 MIN_WORDS = 50
-_HELD = 3_000_000
+_HELD = 1_000_000
 _NONE = np.uint64(2**64 - 1)
 _I32, _I64 = pa.list_(pa.int32()), pa.list_(pa.int64())
 
@@ -123,7 +123,7 @@ def _starts(docs: DataFrame, size: int) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, sure array<int>, keys array<long>, counts array<int>, places array<int>")
+    return docs.select("uid", "text").mapInArrow(freeing(run), "uid long, sure array<int>, keys array<long>, counts array<int>, places array<int>")
 
 
 def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
             yield flush()
 
     schema = "uid long, doc_id long, keys array<long>, counts array<int>, places array<int>, sure_from array<int>, sure_to array<int>, again_from array<int>, again_to array<int>"
-    return docs.select("uid", "doc_id", "text", "places").mapInArrow(run, schema)
+    return docs.select("uid", "doc_id", "text", "places").mapInArrow(freeing(run), schema)
 
 
 def repeated(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
@@ -239,4 +239,4 @@ def repeated(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
             names = ("doc_id", "uid", "start_word", "end_word", "n_words", "removable_words")
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], names)
 
-    return table.mapInArrow(run, "doc_id long, uid long, start_word long, end_word long, n_words long, removable_words long")
+    return table.mapInArrow(freeing(run), "doc_id long, uid long, start_word long, end_word long, n_words long, removable_words long")

@@ -31,11 +31,10 @@ from pyspark.sql.window import Window
 
 from ._scratch import fresh
 from ._tokens import default_vocabulary, encoder
-from ._words import blocks, raw
+from ._words import blocks, freeing, raw
 
 SEGMENT = 1 << 18
 LONGEST = 1 << 21
-_TEXTS = 8 << 20
 _SCHEMA = "part int, segment int, start long, n long, codes binary, doc_ids array<long>, nulls array<boolean>, cuts array<long>, more array<int>"
 
 
@@ -122,7 +121,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for i, j in blocks(raw(batch.column(1))[1], _TEXTS):
+            for i, j in blocks(raw(batch.column(1))[1]):
                 ids, cuts = enc.column(batch.column(1).slice(i, j - i))
                 for k in range(j - i):
                     own = np.concatenate([ids[cuts[k] : cuts[k + 1]], end])
@@ -137,7 +136,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, _SCHEMA).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(freeing(run), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def crc32_join(first: int, second: int, n: int) -> int:
@@ -179,7 +178,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "part", "own_start", "n_tokens", "ids_crc32", "more"],
                 )
 
-    rows = store.select("part", "start", "codes", "doc_ids", "nulls", "cuts", "more").mapInArrow(run, "doc_id long, part int, own_start long, n_tokens long, ids_crc32 long, more int")
+    rows = store.select("part", "start", "codes", "doc_ids", "nulls", "cuts", "more").mapInArrow(freeing(run), "doc_id long, part int, own_start long, n_tokens long, ids_crc32 long, more int")
     # One row for each part of the store, in the order of their first documents.
     parts = store.groupBy("part").agg(F.sum("n").alias("_n"), F.min(F.when(~F.col("nulls")[0], F.col("doc_ids")[0])).alias("_least"), F.max(F.col("nulls")[0]).alias("_null"))
     order = Window.orderBy(F.col("_null").desc(), F.col("_least"), F.col("part")).rowsBetween(Window.unboundedPreceding, -1)
