@@ -4,7 +4,7 @@ Every decision depends on the histogram of piece lengths, which has at most ``ca
 entries whatever the corpus holds; so the driver plans on the histogram and executors place
 pieces by their rank among those of equal length.
 
-1. Large lengths, in descending order, are parted into ``groups`` of equal cardinality; each is
+1. Large lengths (over a share of the capacity, see ``SHARES``), in descending order, are parted into ``groups`` of equal cardinality; each is
    rounded up to the largest of its group.
 2. The few rounded sizes are packed by configurations: the linear programme over all
    configurations, by column generation, rounded down to whole sequences.
@@ -13,7 +13,9 @@ pieces by their rank among those of equal length.
    gaps; a new sequence opens only where no gap is large enough.
 
 Edge cases: null text counts as empty, and an empty text is one piece of the end id alone;
-repeated rows and null ids are packed like any others; an empty table gives an empty result.
+repeated rows and null ids are packed like any others; an empty table gives an empty result; other
+columns of ``docs`` have no part, and a table given to ``pack`` must not name one ``_salt``, ``_salts``
+or ``_rank``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ from ._words import blocks, freeing, raw
 
 CAPACITY = 2048
 GROUPS = 128
-SALTS = 32
+#: Shares of the capacity above which a length may count as large: at most 4, 3, 2 or no items a configuration.
+SHARES = (0.2, 0.25, 0.34, 1.0)
+#: Pieces of one length that one task ranks, about.
+RANKED = 1 << 18
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -68,31 +73,41 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[int, np.ndarray]]:
-    """(whole multiplicity, slots of each size) from the configuration programme."""
+def _configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple[float, list[tuple[int, np.ndarray]]]:
+    """The configuration programme's value, and (whole multiplicity, slots of each size) from it."""
     size, b = np.array(sizes), np.array(demand, float)
     k = len(size)
     basis = np.diag(capacity // size).astype(float)
-    for _ in range(40 * k):
-        price = np.linalg.solve(basis.T, np.ones(k))
-        best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):
-            fits = size <= c
-            value = np.where(fits, best[np.maximum(c - size, 0)] + price, -1.0)
-            g = int(value.argmax())
-            best[c], last[c] = (value[g], g) if value[g] > best[c - 1] + 1e-12 else (best[c - 1], -1)
+    inverse = np.diag(1 / np.diag(basis))
+    room = np.arange(capacity + 1)[None, :] - size[:, None]
+    fits, at = room >= 0, np.maximum(room, 0)
+    for turn in range(40 * k):
+        price = inverse.sum(0)
+        # The best value of at most 1, 2, ... items of large size, for every capacity at once.
+        best, picks = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(size.min())):
+            value = np.where(fits, best[at] + price[:, None], 0.0)
+            g = value.argmax(0)
+            top = value[g, np.arange(capacity + 1)]
+            picks.append(np.where(top > best + 1e-12, g, -1))
+            best = np.maximum(best, top)
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if last[c] < 0:
-                c -= 1
-            else:
-                column[last[c]] += 1
-                c -= int(size[last[c]])
-        level, step = np.linalg.solve(basis, b), np.linalg.solve(basis, column)
+        for pick in reversed(picks):
+            if pick[c] >= 0:
+                column[pick[c]] += 1
+                c -= int(size[pick[c]])
+        level, step = inverse @ b, inverse @ column
         ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        if turn % 64 == 63:
+            inverse = np.linalg.inv(basis)
+        else:  # the new column enters the inverse
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
     level = np.linalg.solve(basis, b)
     found, left = [], b.copy()
     for j in np.argsort(-level):
@@ -102,39 +117,65 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
         if whole > 0:
             found.append((whole, slots))
             left -= whole * slots
-    return found
+    return float(level.sum()), found
+
 
+def _grouped(left: dict[int, int], large: list[int], groups: int) -> list[list[list[int]]]:
+    """Runs of [length, how many] of equal cardinality, longest first."""
+    card = -(-sum(left[n] for n in large) // groups)
+    runs: list[list[list[int]]] = [[]]
+    room = card
+    for n in large:
+        c = left[n]
+        while c:
+            if not room:
+                runs.append([])
+                room = card
+            take = min(c, room)
+            runs[-1].append([n, take])
+            c, room = c - take, room - take
+    return runs
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: float = 0.45) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Sequences as (how many alike, [(length, how many of it in each)]) for a histogram of lengths."""
+
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, small: float = SHARES[0]) -> int:
+    """Sequences that any packing needs: by volume, or by the programme with large lengths rounded down."""
+    counts = np.asarray(counts, np.int64)
+    volume = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    left = {int(n): int(counts[n]) for n in np.flatnonzero(counts) if n > capacity * small}
+    if not left:
+        return volume
+    by_size: dict[int, int] = defaultdict(int)
+    for g in _grouped(left, sorted(left, reverse=True), groups):
+        by_size[g[-1][0]] += sum(c for _, c in g)
+    sizes = sorted(by_size, reverse=True)
+    return max(volume, int(np.ceil(_configurations(sizes, [by_size[s] for s in sizes], capacity)[0] - 1e-6)))
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Sequences as (how many alike, [(length, how many of it in each)]) for a histogram of lengths.
+
+    The share of the capacity above which a length is large is the one of ``SHARES`` that needs the fewest
+    sequences; at the last, 1, no length is, so the plan never needs more than best-fit decreasing.
+    """
+    return min((_plan(counts, capacity, groups, share) for share in SHARES), key=lambda found: sum(many for many, _ in found))
+
+
+def _plan(counts: np.ndarray, capacity: int, groups: int, small: float) -> list[tuple[int, list[tuple[int, int]]]]:
     counts = np.asarray(counts, np.int64)
     left = {int(n): int(counts[n]) for n in np.flatnonzero(counts) if n}
     done: list[tuple[int, list[tuple[int, int]]]] = []
     if left.get(capacity):
         done.append((left.pop(capacity), [(capacity, 1)]))
     large = sorted((n for n in left if n > capacity * small), reverse=True)
-    total = sum(left[n] for n in large)
     open_bins: list[tuple[int, list[tuple[int, int]]]] = []
     if large:
-        card = -(-total // min(groups, total))
-        runs: list[list[list[int]]] = [[]]
-        room = card
-        for n in large:
-            c = left[n]
-            while c:
-                if not room:
-                    runs.append([])
-                    room = card
-                take = min(c, room)
-                runs[-1].append([n, take])
-                c, room = c - take, room - take
         by_size: dict[int, list[list[int]]] = defaultdict(list)
-        for g in runs:  # groups whose largest lengths are equal are one size
+        for g in _grouped(left, large, groups):  # groups whose largest lengths are equal are one size
             by_size[g[0][0]] += g
         sizes = sorted(by_size, reverse=True)
         for n in large:
             del left[n]
-        for many, slots in _configurations(sizes, [sum(c for _, c in by_size[s]) for s in sizes], capacity):
+        for many, slots in _configurations(sizes, [sum(c for _, c in by_size[s]) for s in sizes], capacity)[1]:
             while many:
                 alike = many
                 for g in np.flatnonzero(slots):
@@ -204,16 +245,18 @@ def pack(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
 
     ``table`` must read alike each time, as one of ``written`` does.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    salted = table.withColumn("_salt", salt)
-    found = salted.groupBy("length", "_salt").count().collect()  # capacity * SALTS rows at most
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for r in found:
-        counts[r["length"], r["_salt"]] = r["count"]
-    before = np.concatenate([np.zeros((capacity + 1, 1), np.int64), np.cumsum(counts, 1)[:, :-1]], 1)
-    places = _places(plan(counts.sum(1), capacity, groups))
+    sizes = table.groupBy("length").count().collect()  # a row a length
+    salts = {r["length"]: -(-r["count"] // RANKED) for r in sizes}
+    spread = table.sparkSession.createDataFrame(sorted(salts.items()), "length long, _salts int")
+    salted = table.join(F.broadcast(spread), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts")).cast("int")).drop("_salts").select(*table.columns, "_salt")
+    found = salted.groupBy("length", "_salt").count().collect()  # capacity rows, and one for RANKED pieces
+    counts, before = np.zeros(capacity + 1, np.int64), {}
+    for n, k, many in sorted(found):
+        before[n, k] = int(counts[n])
+        counts[n] += many
+    places = _places(plan(counts, capacity, groups))
     sc = table.sparkSession.sparkContext
-    shared = sc.broadcast((before, places))  # capacity * SALTS numbers; a few entries for each length
+    shared = sc.broadcast((np.array([(n * (1 << 32) + k, x) for (n, k), x in sorted(before.items())], np.int64).reshape(-1, 2), places))  # as many rows; a few entries for each length
     own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(own).cast("long") - 1)
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -223,7 +266,7 @@ def pack(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
         key = places[:, 0] * (1 << 44) + places[:, 1]
         for b in batches:
             n = b.column("length").to_numpy()
-            rank = b.column("_rank").to_numpy() + before[n, b.column("_salt").to_numpy()]
+            rank = b.column("_rank").to_numpy() + before[np.searchsorted(before[:, 0], n * (1 << 32) + b.column("_salt").to_numpy()), 1]
             at = np.searchsorted(key, n * (1 << 44) + rank, side="right") - 1
             _, first, sequence, offset, each = places[at].T
             more = [pa.array(sequence + (rank - first) // each), pa.array(offset + (rank - first) % each * n)]
