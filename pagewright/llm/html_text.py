@@ -1,15 +1,17 @@
 """Visible text of HTML pages, laid out as it is shown.
 
 A tokenizer feeds a tree builder that supplies implied end tags (p, li, dt, dd, rows, cells,
-options, head), ignores unmatched end tags, and lets inline elements end across blocks. The
-renderer leaves out what isn't shown (head, scripts, styles, templates, ``hidden``,
-``display:none``, ``visibility:hidden``) and keeps the rest: blocks on lines of their own, blank
-lines around paragraphs and headings, list markers with indents, preformatted text as it is, and
-table cells padded into columns.
-
-Edge cases: null or empty html gives an empty text; unclosed tags, comments and quotes end with
-the input; elements nested deeper than ``DEPTH`` are laid out at that depth, text included;
-repeated rows and null ids are rendered like others; an empty table gives an empty result.
+options, head), ignores unmatched end tags, and lets inline elements end across blocks. What isn't
+shown goes from the tree (head, scripts, styles, templates, ``hidden``, ``display:none``, and the text of
+``visibility:hidden`` up to a ``visibility:visible`` within). The renderer keeps the rest: blocks on lines of
+their own, blank lines around paragraphs and headings, list markers with indents and numbers (start, value,
+reversed, type), preformatted text as it is, and table cells padded into columns (spans of both kinds, head
+rows first, foot rows last).
+
+Edge cases: null or empty html gives an empty text; comments end with the input, and a tag that the
+input ends within is dropped, as the standard has it; elements nested deeper than ``DEPTH`` are laid out at
+that depth, text included; time and memory grow with a page's length, malformed or not; repeated rows and
+null ids are rendered like others; other columns have no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,17 +42,20 @@ IMPLIED = {
     "thead": ("tr td th thead tbody tfoot caption", "table"), "tbody": ("tr td th thead tbody tfoot caption", "table"), "tfoot": ("tr td th thead tbody tfoot caption", "table"), "option": ("option", "select"), "optgroup": ("option optgroup", "select"),
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
-_TOKEN = re.compile(r"""[^<]+|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<""", re.S)
+_TOKEN = re.compile(r"""[^<]+|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|=|["'])*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|<""", re.S)
 #: An opening tag of a table part ends all that is open within the closest of these; and table parts alone end across a cell.
 CONTEXT = {"td": "tr thead tbody tfoot table", "th": "tr thead tbody tfoot table", "tr": "thead tbody tfoot table", "thead": "table", "tbody": "table", "tfoot": "table"}
 CONTEXT = {k: frozenset(v.split()) for k, v in CONTEXT.items()}
 PARTS = frozenset("table thead tbody tfoot tr td th caption body html".split())
+#: These end all that is open within them.
+CLOSING = BLOCK | UNSEEN | {"button"}
 _ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|\S*))?""")
-_MAYBE = re.compile(r"hidden|none|&", re.I)
-_STYLE = re.compile(r"(?:^|[;{])\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_MAYBE = re.compile(r"hidden|none|visible|&", re.I)
+_GONE = re.compile(r"(?:^|[;{])\s*display\s*:\s*none\b", re.I)
+_SEEN = re.compile(r"(?:^|[;{])\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NUMBER = re.compile(r"""\bstart\s*=\s*["']?(-?\d+)""")
-_SPAN = re.compile(r"""\bcolspan\s*=\s*["']?(\d{1,3})""")
+#: Rows or columns that a cell may span, as the standard bounds them.
+_MOST = 1000
 
 
 class Node:
@@ -81,6 +86,8 @@ def tree(source: str) -> Node:
         m = token(source, at)
         at = m.end()
         tag = m[2]
+        if tag is not None and not m[4]:
+            break  # the input ends within a tag
         if tag is None:
             text = m[0]
             if text[0] != "<" or len(text) == 1:
@@ -92,7 +99,7 @@ def tree(source: str) -> Node:
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if tag in BLOCK or not any(s.tag in BLOCK for s in stack[k + 1 :]):
+                    if tag in CLOSING or not any(s.tag in BLOCK for s in stack[k + 1 :]):
                         del stack[k:]
                     else:  # an inline element ends across blocks, which stay open
                         del stack[k]
@@ -122,15 +129,48 @@ def tree(source: str) -> Node:
     return root
 
 
-def _unshown(node: Node) -> bool:
-    """Whether attributes hide the element."""
-    if not node.attrs or not _MAYBE.search(node.attrs):
-        return False
+def attributes(node: Node) -> dict[str, str]:
+    """Names in lower case and values; the first of a name counts."""
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(node.attrs):
         value = m[2] or ""
         found.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
-    return "hidden" in found or bool(_STYLE.search(found.get("style", ""))) or node.tag == "input" and found.get("type", "").lower() == "hidden"
+    return found
+
+
+def _number(found: dict[str, str], name: str) -> int | None:
+    m = re.match(r"\s*([+-]?\d{1,9})", found.get(name, ""))
+    return int(m[1]) if m else None
+
+
+def prune(root: Node) -> Node:
+    """The tree without what isn't shown."""
+    todo = [(root, False)]
+    while todo:
+        node, mute = todo.pop()
+        kept: list = []
+        for c in node.children:
+            if isinstance(c, str):
+                if not mute:
+                    kept.append(c)
+                continue
+            own = mute
+            if c.tag in UNSEEN:
+                continue
+            if c.attrs and _MAYBE.search(c.attrs):
+                found = attributes(c)
+                style = found.get("style", "")
+                if "hidden" in found or _GONE.search(style) or c.tag == "input" and found.get("type", "").lower() == "hidden":
+                    continue
+                if seen := _SEEN.findall(style):
+                    own = seen[-1].lower() != "visible"
+            if own and c.tag in ("hr", "br"):
+                continue
+            kept.append(c)
+            if c.children:
+                todo.append((c, own))
+        node.children = kept
+    return root
 
 
 def _list_item(node: Node, marker: str) -> list[str]:
@@ -139,13 +179,16 @@ def _list_item(node: Node, marker: str) -> list[str]:
     return [(marker if k == 0 else pad if x else "") + x for k, x in enumerate(lines)] if lines else []
 
 
-def _rows(node: Node):
+def _rows(node: Node) -> list[Node]:
+    """A table's rows as they are shown: head sections first, foot sections last."""
+    parts: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
     for c in node.children:
-        if isinstance(c, Node) and not _unshown(c):
+        if isinstance(c, Node):
             if c.tag == "tr":
-                yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(c)
+                parts["tbody"].append(c)
+            elif c.tag in parts:
+                parts[c.tag] += _rows(c)
+    return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
 def _loose(node: Node):
@@ -154,13 +197,11 @@ def _loose(node: Node):
         if isinstance(c, str):
             yield c
         elif c.tag in ("thead", "tbody", "tfoot") and node.tag != "tr":
-            if not _unshown(c):
-                yield from _loose(c)
+            yield from _loose(c)
         elif c.tag == "tr" and node.tag != "tr":
-            if not _unshown(c):
-                row = Node("div")
-                row.children = list(_loose(c))
-                yield row
+            row = Node("div")
+            row.children = list(_loose(c))
+            yield row
         elif not (c.tag in ("td", "th") and node.tag == "tr" or c.tag == "caption" and node.tag == "table"):
             yield c
 
@@ -168,13 +209,23 @@ def _loose(node: Node):
 def _table(node: Node) -> list[str]:
     grid: list[list[tuple[int, list[str]]]] = []
     head = [x for c in node.children if isinstance(c, Node) and c.tag == "caption" for x in layout(c)]
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still spans
     for row in _rows(node):
-        cells, column = [], 0
+        cells, column, spans = [], 0, []
         for c in row.children:
-            if isinstance(c, Node) and c.tag in ("td", "th") and not _unshown(c):
-                span = _SPAN.search(c.attrs) if c.attrs else None
+            if isinstance(c, Node) and c.tag in ("td", "th"):
+                while taken.get(column):
+                    column += 1
+                found = attributes(c) if c.attrs else {}
+                wide = min(_MOST, max(1, _number(found, "colspan") or 1))
+                high = _number(found, "rowspan")
                 cells.append((column, layout(c)))
-                column += max(1, int(span[1])) if span else 1
+                spans.append((column, wide, _MOST if high == 0 else min(_MOST, max(1, high or 1))))
+                column += wide
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+        for at, wide, high in spans:
+            if high > 1:
+                taken.update((k, high - 1) for k in range(at, at + wide))
         grid.append(cells)
     stray = Node("div")
     stray.children = list(_loose(node))
@@ -198,6 +249,43 @@ def _table(node: Node) -> list[str]:
     return head + out
 
 
+def _numeral(n: int, kind: str) -> str:
+    """A list number in the style of the type attribute."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(97 + r) + out
+        return out if kind == "a" else out.upper()
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out if kind == "i" else out.upper()
+    return str(n)
+
+
+def _markers(node: Node):
+    """The marker of each list item in turn: a function of the item."""
+    if node.tag != "ol":
+        return lambda item: "- "
+    found = attributes(node) if node.attrs else {}
+    step = -1 if "reversed" in found else 1
+    first = _number(found, "start")
+    if first is None:
+        first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if step < 0 else 1
+    last = first - step
+
+    def marker(item: Node) -> str:
+        nonlocal last
+        value = _number(attributes(item), "value") if item.attrs else None
+        last = last + step if value is None else value
+        return f"{_numeral(last, found.get('type', ''))}. "
+
+    return marker
+
+
 def layout(node: Node, pre: bool = False) -> list[str]:
     """The lines of a node's children."""
     lines: list[str] = []
@@ -226,7 +314,6 @@ def layout(node: Node, pre: bool = False) -> list[str]:
             put(shown, 0)
 
     def walk(children: list, keep: bool) -> None:
-        number = 0
         for c in children:
             if isinstance(c, str):
                 inline.append(c.replace("\0", ""))
@@ -234,12 +321,9 @@ def layout(node: Node, pre: bool = False) -> list[str]:
             tag = c.tag
             if tag == "br":
                 inline.append("\n" if keep else "\0")
-            elif tag in UNSEEN or _unshown(c):
-                continue
             elif tag == "li":
                 flush(keep)
-                number += 1
-                put(_list_item(c, marker(number)), 0)
+                put(_list_item(c, marker(c)), 0)
             elif tag in BLOCK:
                 flush(keep)
                 margin = 1 if tag in SPACED else 0
@@ -258,19 +342,14 @@ def layout(node: Node, pre: bool = False) -> list[str]:
             else:
                 walk(c.children, keep)
 
-    if node.tag == "ol":
-        begin = _NUMBER.search(node.attrs)
-        first = int(begin[1]) if begin else 1
-        marker = lambda k: f"{first + k - 1}. "
-    else:
-        marker = lambda k: "- "
+    marker = _markers(node)
     walk(node.children, pre)
     flush(pre)
     return lines
 
 
 def render(source: str | None) -> str:
-    return "\n".join(layout(tree(source))) if source else ""
+    return "\n".join(layout(prune(tree(source)))) if source else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
