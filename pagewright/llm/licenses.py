@@ -6,18 +6,21 @@ lines aside). It is fitted on the driver from the notices below and
 variants made of them, and from plain sentences that use the same words; nothing is taken from
 the corpus. A held-out share of the variants sets the temperature, so that probabilities are
 calibrated; the unknown class wins below ``LEAST``. A prediction stands only if a template of the
-family confirms it: ``CONFIRM`` of the template's word pairs, version numbers aside, must occur.
-Runs of lines are taken around every stem as long as the lines between first and last hold fewer
+family confirms it: ``CONFIRM`` of the template's word pairs, version numbers aside, must occur; one of fewer
+than ``SHORT`` words must also end the paragraph, as its few words occur in other sentences.
+Runs of lines are taken around every key word as long as the lines between first and last hold fewer
 than ``REACH`` words, more than any template. Of overlapping ones the most similar stands, then the shortest; a
 single line only gives way to a run of its own family.
 
-A paragraph without any of ``STEMS`` has no feature, in training and in use, which is the unknown
-class by construction; so such paragraphs are left out before any work on words, without loss. No shuffle moves text: only the scores of n-grams that
+Key words follow from the templates: of each, the longest words that leave fewer word pairs without one than a
+confirmation needs. So a paragraph without any of them can't be confirmed, and is left out before any work on
+words, without loss. No shuffle moves text: only the scores of n-grams that
 occur are summed for each paragraph, and only paragraphs with enough pairs of templates are kept.
 
 Edge cases: null or empty text has no paragraph; repeated paragraphs are each reported; rows with
-null ids are scanned like others; two rows alike in id and text are reported once; an empty table
-gives an empty result.
+null ids are scanned like others; two rows alike in id and text are reported once; of ties in similarity the
+shorter run stands, then the earlier, then the family first by name; other columns have no part; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from ._scratch import written
 
 LEAST = 0.5
 CONFIRM = 0.6
-#: Licence vocabulary, family notices, and plain sentences.
-STEMS = ("licen", "copyright", "copyleft", "permission", "redistribut", "gnu", "apache", "mozilla", "creative commons", "warrant", "spdx", "proprietary", "rights reserved", "public domain")
+SHORT = 4
+#: Family notices, and plain sentences.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT", "This project is licensed under the MIT License"),
     "Apache": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
@@ -57,21 +60,40 @@ PLAIN = (
     "no warrant was needed for the search", "copyright law is taught in the second year", "a question of copyright came up in court", "licensed drivers only", "a fishing license costs ten dollars", "they redistributed the land among farmers",
     "wealth was redistributed by new taxes", "the public domain of roads and squares", "cc the manager on every message", "permission slips are due on friday", "his licence was revoked in may", "water rights of the village",
 )
+#: Words too usual to search for, if others do.
+USUAL = frozenset("a an any are as at be by for from if in is it may not of on or that the this to under with you".split())
 FAMILIES = ("unknown", *TEMPLATES)
 #: Half as many words again as the longest template has.
 REACH = 3 * max(len(t.split()) for v in TEMPLATES.values() for t in v) // 2
 _CUT = r"[^a-z0-9]+"
-_FOUND = "(?i)" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in STEMS)
-
-
 def tokens(text: str) -> list[str]:
     """Lower-cased words; digits count as 0."""
     return [re.sub(r"\d+", "0", w) for w in re.split(_CUT, text.lower()) if w]
 
 
+def _need(words: list[str]) -> int:
+    """How many of a template's distinct word pairs confirm it."""
+    return int(np.ceil(CONFIRM * len({*zip(words, words[1:])})))
+
+
+def key_words() -> list[str]:
+    """Words of the templates such that every paragraph that can be confirmed holds one."""
+    out: set[str] = set()
+    for words in (tokens(t) for v in TEMPLATES.values() for t in v):
+        pairs = {*zip(words, words[1:])}
+        for w in sorted({w for w in words if w.isalpha()}, key=lambda w: (w not in out, w in USUAL, -len(w), w)):
+            if sum(not out & {*p} for p in pairs) < _need(words):
+                break
+            out.add(w)
+    return sorted(out)
+
+
+_FOUND = "(?i)(?<![a-z0-9])(?:" + "|".join(key_words()) + ")(?![a-z0-9])"
+
+
 def features(words: list[str]) -> set[str]:
-    """One- and two-word n-grams of a paragraph that holds a stem; none otherwise."""
-    return {*words, *map(" ".join, zip(words, words[1:]))} if any(s in " ".join(words) for s in STEMS) else set()
+    """One- and two-word n-grams of a paragraph."""
+    return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
 def _variants(text: str, rng: random.Random, n: int) -> list[list[str]]:
@@ -129,12 +151,11 @@ def _pairs(words: Column) -> Column:
 
 def _runs(docs: DataFrame) -> DataFrame:
     """doc_id, uid, and first line, last line and words of every run of lines that may hold a notice."""
-    stem = lambda words: F.array_join(words, " ").rlike(_FOUND)
+    keyed = lambda words: F.array_join(words, " ").rlike(_FOUND)
     inked = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), _words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
     held = docs.where(F.col("text").rlike(_FOUND)).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), inked.alias("lines"))
-    # A stem lies in a line or across the end of one.
-    near_stem = F.filter(F.transform("lines", lambda x, i: F.when(stem(F.concat(x["words"], F.coalesce(F.get("lines", i + 1)["words"], F.array().cast("array<string>")))), i)), lambda i: i.isNotNull())
-    hot = held.select("doc_id", "uid", "lines", F.explode(near_stem).alias("k"))
+    near_key = F.filter(F.transform("lines", lambda x, i: F.when(keyed(x["words"]), i)), lambda i: i.isNotNull())
+    hot = held.select("doc_id", "uid", "lines", F.explode(near_key).alias("k"))
 
     def reach(part: Column) -> Column:
         """How many lines come before REACH words are full."""
@@ -148,7 +169,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     ends = lambda i: F.filter(F.sequence(F.col("left"), F.col("left") + F.col("right")), lambda j: inner(i, j) < REACH)
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("left")), lambda i: F.transform(ends(i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
     runs = around.select("doc_id", "uid", "near", F.explode(spans).alias("span")).select("doc_id", "uid", F.slice("near", F.col("span.i") + 1, F.col("span.j") - F.col("span.i") + 1).alias("run"))
-    return runs.select("doc_id", "uid", F.get("run", F.lit(0))["at"].alias("paragraph"), F.element_at("run", -1)["at"].alias("last"), F.size("run").alias("n_lines"), F.flatten(F.transform("run", lambda x: x["words"])).alias("words")).where(stem(F.col("words")))
+    return runs.select("doc_id", "uid", F.get("run", F.lit(0))["at"].alias("paragraph"), F.element_at("run", -1)["at"].alias("last"), F.size("run").alias("n_lines"), F.flatten(F.transform("run", lambda x: x["words"])).alias("words"))
 
 
 def _apart(hits: Column) -> Column:
@@ -162,9 +183,9 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     grams, w, b, heat = model()
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(grams, w)], "gram string, weight array<double>")
-    pairs = [(k, sorted({" ".join(p) for p in zip(t, t[1:])})) for k, v in TEMPLATES.items() for t in map(tokens, v)]
-    templates = spark.createDataFrame(pairs, "family string, pairs array<string>")
-    known, least = F.array(*map(F.lit, sorted({p for _, x in pairs for p in x}))), min(int(np.ceil(CONFIRM * len(x))) for _, x in pairs)
+    pairs = [(k, sorted({" ".join(p) for p in zip(t, t[1:])}), " ".join(t) if len(t) < SHORT else None) for k, v in TEMPLATES.items() for t in map(tokens, v)]
+    templates = spark.createDataFrame(pairs, "family string, pairs array<string>, ending string")
+    known, least = F.array(*map(F.lit, sorted({p for _, x, _ in pairs for p in x}))), min(_need(t) for v in TEMPLATES.values() for t in map(tokens, v))
     rows = _runs(docs).withColumn("own", _pairs(F.col("words"))).where(F.size(F.array_intersect("own", known)) >= least)
     key = ["uid", "paragraph", "last"]
     rows = written(rows.dropDuplicates(key), "paragraphs")
@@ -174,7 +195,9 @@ def scan(docs: DataFrame) -> DataFrame:
     share = F.transform("z", lambda v: F.exp((v - top) / heat))
     named = sums.select(*key, F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position("z", top) - 1).cast("int")).alias("family"), (1 / F.aggregate(share, F.lit(0.0), lambda s, v: s + v)).alias("probability"))
     named = named.where((F.col("probability") >= LEAST) & (F.col("family") != "unknown"))
-    both = rows.select("doc_id", *key, "n_lines", "own").join(named, key).join(F.broadcast(templates), "family")  # some dozens
+    tail = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(F.lit(1), F.size("words") - (SHORT - 1)), F.lit(SHORT)), " "))
+    both = rows.select("doc_id", *key, "n_lines", "own", tail.alias("tail")).join(named, key).join(F.broadcast(templates), "family")  # some dozens
+    both = both.where(F.col("ending").isNull() | F.endswith("tail", F.concat(F.lit(" "), F.col("ending"))))
     alike = F.size(F.array_intersect("own", "pairs")) / F.size("pairs")
     best = both.groupBy("doc_id", *key, "n_lines", "family", "probability").agg(F.max(alike).alias("similarity")).where(F.col("similarity") >= CONFIRM)
     hits = best.groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "n_lines", "paragraph", "last", "family", "probability"))).alias("hits"))
