@@ -2,7 +2,7 @@
 
 Each document has a histogram of character classes and one of common words (all others are one
 bin). A language's reference is the mean of its documents' normalised histograms, over all
-documents long enough for the histogram to count. A document goes where its Jensen-Shannon
+documents that pass the base rule and are long enough for the histogram to count. A document goes where its Jensen-Shannon
 distance (root of the divergence in bits, 0 to 1) from its language's reference exceeds a limit;
 shorter documents are not judged by that histogram. A language with fewer than ``SUPPORT`` such
 documents has no reference: its distances are null and only the base rule judges its documents.
@@ -36,6 +36,8 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "quote", "symbol", "other
 #: Least code points for the character classes, least words for the common words, and the limits.
 #: WORD_LIMIT is set from the labels of sf0.1: a text without a common word lies at 0.36 to 0.38.
 MIN_CHARS, MIN_WORDS, CLASS_LIMIT, WORD_LIMIT, SUPPORT = 400, 50, 0.32, 0.31, 50
+#: References of so many languages at most are broadcast, 1 kB each; more are joined by a shuffle.
+LANGUAGES = 10_000
 
 
 def _classes() -> np.ndarray:
@@ -108,41 +110,49 @@ def features(docs: DataFrame, window: int = 5) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(freeing(run), f"doc_id {kind}, lang string, {' long, '.join(counts)} long, classes array<int>, words array<int>")
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of any totals; null if one is empty."""
-    sp, sq = F.aggregate(p, F.lit(0.0), lambda s, x: s + x), F.aggregate(q, F.lit(0.0), lambda s, x: s + x)
+def js_distance(counts: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of a histogram of a known total from shares that sum to 1; null for total 0 or no reference."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    both = F.zip_with(F.transform(p, lambda x: x / sp), F.transform(q, lambda x: x / sq), lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    total = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
+    both = F.zip_with(counts, reference, lambda x, y: F.struct((x / total).alias("x"), y.alias("y")))
+    gone = F.aggregate(both, F.lit(0.0), lambda s, b: s + term(b["x"], (b["x"] + b["y"]) / 2) + term(b["y"], (b["x"] + b["y"]) / 2))
+    return F.when((total > 0) & reference.isNotNull(), F.sqrt(F.greatest(gone / 2, F.lit(0.0))))
 
 
 def references(found: DataFrame) -> DataFrame:
-    """For each language the summed histograms, in millionths of each document's; null without SUPPORT."""
+    """For each language the mean histograms as shares that sum to 1; null without SUPPORT.
+
+    Sums are of whole millionths of each document's share, so their order has no part in them.
+    """
     totals = {"classes": F.col("n_chars"), "words": F.col("n_words")}
 
     def sums(name: str, n: int, enough: Column) -> list[Column]:
         total = totals[name]
         return [F.sum(F.when(enough, F.floor(F.col(name)[k].cast("double") * 1_000_000 / total)).otherwise(0)).alias(f"{name}{k}") for k in range(n)]
 
-    long_enough = {"classes": F.col("n_chars") >= MIN_CHARS, "words": F.col("n_words") >= MIN_WORDS}
+    long_enough = {"classes": ~_failed() & (F.col("n_chars") >= MIN_CHARS), "words": ~_failed() & (F.col("n_words") >= MIN_WORDS)}
     each = found.groupBy(F.coalesce("lang", F.lit("")).alias("language")).agg(
         *sums("classes", len(CLASSES), long_enough["classes"]), *sums("words", len(WORDS) + 1, long_enough["words"]),
         F.sum(F.when(long_enough["classes"], 1).otherwise(0)).alias("docs_classes"), F.sum(F.when(long_enough["words"], 1).otherwise(0)).alias("docs_words"),
     )
-    pick = [F.when(F.col(f"docs_{name}") >= SUPPORT, F.array(*(F.col(f"{name}{k}").cast("double") for k in range(n)))).alias(f"ref_{name}") for name, n in (("classes", len(CLASSES)), ("words", len(WORDS) + 1))]
+    sizes = (("classes", len(CLASSES)), ("words", len(WORDS) + 1))
+    total_of = lambda name, n: sum((F.col(f"{name}{k}") for k in range(1, n)), F.col(f"{name}0")).cast("double")
+    each = each.select("*", *(total_of(name, n).alias(f"total_{name}") for name, n in sizes))
+    pick = [F.when(F.col(f"docs_{name}") >= SUPPORT, F.array(*(F.col(f"{name}{k}") / F.col(f"total_{name}") for k in range(n)))).alias(f"ref_{name}") for name, n in sizes]
     return each.select("language", *pick)
 
 
+def _failed() -> Column:
+    """The base rule."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, class_js, word_js, kept."""
     found = written(features(docs), "quality")
     ref = written(references(found), "references")
-    joined = found.withColumn("language", F.coalesce("lang", F.lit(""))).join(ref, "language")
-    histogram = lambda k: F.transform(k, lambda x: x.cast("double"))
-    class_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(histogram("classes"), F.col("ref_classes")))
-    word_js = F.when(F.col("n_words") >= MIN_WORDS, js_distance(histogram("words"), F.col("ref_words")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), class_js.alias("class_js"), word_js.alias("word_js"))
+    joined = found.withColumn("language", F.coalesce("lang", F.lit(""))).join(F.broadcast(ref) if ref.count() <= LANGUAGES else ref, "language")
+    class_js = F.when(F.col("n_chars") >= MIN_CHARS, js_distance(F.col("classes"), F.col("n_chars"), F.col("ref_classes")))
+    word_js = F.when(F.col("n_words") >= MIN_WORDS, js_distance(F.col("words"), F.col("n_words"), F.col("ref_words")))
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"), class_js.alias("class_js"), word_js.alias("word_js"))
     fits = F.coalesce(F.col("class_js") <= CLASS_LIMIT, F.lit(True)) & F.coalesce(F.col("word_js") <= WORD_LIMIT, F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & fits)
