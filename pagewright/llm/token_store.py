@@ -13,8 +13,9 @@ order, written by Spark's committer (lost executors leave no partial files, and
 Spark reads will do). Segments hold whole documents up to about ``SEGMENT`` tokens; a document
 of more than ``LONGEST`` is cut into parts.
 
-Edge cases: null text counts as empty and holds the end id alone; null ids sort first; repeated
-rows stay, in the order of their texts; an empty table gives an empty store.
+Edge cases: null text counts as empty and holds the end id alone; null ids sort first; rows alike
+in doc_id stay, in the order of their texts; other columns have no part;
+an empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from ._words import blocks, freeing, raw
 
 SEGMENT = 1 << 18
 LONGEST = 1 << 21
-_SCHEMA = "part int, segment int, start long, n long, codes binary, doc_ids array<long>, nulls array<boolean>, cuts array<long>, more array<int>"
+_SCHEMA = "part int, segment int, start long, n long, codes binary, doc_ids array<long>, nulls array<boolean>, cuts array<long>, docs array<long>, more array<int>, split array<boolean>"
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -104,18 +105,19 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     def run(batches):
         enc = encoder(vocabulary)
         end = np.array([end_id], np.uint32)
-        part, start, segment = TaskContext.get().partitionId(), 0, 0
-        held, size, names, more = [], 0, [], []
+        part, start, segment, number = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[np.ndarray] = []
+        size, names, docs, more, split = 0, [], [], [], []
 
         def flush():
-            nonlocal held, size, names, more, start, segment
+            nonlocal held, size, names, docs, more, split, start, segment
             ids = np.concatenate(held)
             cuts = np.cumsum([0, *map(len, held)])
-            row = [part, segment, start, size, encode(ids), [x or 0 for x in names], [x is None for x in names], cuts.tolist(), more]
+            row = [part, segment, start, size, encode(ids), [x or 0 for x in names], [x is None for x in names], cuts.tolist(), docs, more, split]
             start, segment = start + size, segment + 1
-            held, size, names, more = [], 0, [], []
+            held, size, names, docs, more, split = [], 0, [], [], [], []
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32())))],
+                [pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())))],
                 [x.split()[0] for x in _SCHEMA.split(", ")],
             )
 
@@ -131,11 +133,17 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                         held.append(own[s : s + LONGEST])
                         size += len(held[-1])
                         names.append(doc_ids[i + k])
+                        docs.append(number)
                         more.append(p)
+                        split.append(len(own) > LONGEST)
+                    number += 1
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    spark, rows = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Ranges follow the input's size; a repeated or null id is parted by how its texts begin.
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    rows = rows.repartitionByRange(ranges, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(freeing(run), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -168,38 +176,42 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(len(batch)):  # a segment at a time
+                r = batch.slice(k, 1).to_pylist()[0]
                 flat = decode(r["codes"]).tobytes()
                 cuts = r["cuts"]
                 crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(cuts, cuts[1:])]
                 ids = [None if z else x for x, z in zip(r["doc_ids"], r["nulls"])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), r["part"], np.int32)), pa.array(r["start"] + np.array(cuts[:-1])), pa.array(np.diff(cuts)), pa.array(crc, pa.int64()), pa.array(r["more"], pa.int32())],
-                    ["doc_id", "part", "own_start", "n_tokens", "ids_crc32", "more"],
+                    [pa.array(ids, pa.int64()), pa.array(np.full(len(ids), r["part"], np.int32)), pa.array(r["docs"], pa.int64()), pa.array(r["start"] + np.array(cuts[:-1])), pa.array(np.diff(cuts)), pa.array(crc, pa.int64()), pa.array(r["more"], pa.int32()), pa.array(r["split"], pa.bool_())],
+                    ["doc_id", "part", "doc", "own_start", "n_tokens", "ids_crc32", "more", "split"],
                 )
 
-    rows = store.select("part", "start", "codes", "doc_ids", "nulls", "cuts", "more").mapInArrow(freeing(run), "doc_id long, part int, own_start long, n_tokens long, ids_crc32 long, more int")
-    # One row for each part of the store, in the order of their first documents.
-    parts = store.groupBy("part").agg(F.sum("n").alias("_n"), F.min(F.when(~F.col("nulls")[0], F.col("doc_ids")[0])).alias("_least"), F.max(F.col("nulls")[0]).alias("_null"))
-    order = Window.orderBy(F.col("_null").desc(), F.col("_least"), F.col("part")).rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
-    rows = rows.join(bases, "part").withColumn("start", F.col("own_start") + F.col("_base"))
-    # A document cut into parts: their checksums join into one. Only such documents are grouped.
-    longs = store.select("part", "start", F.explode(F.arrays_zip("doc_ids", "cuts", "more")).alias("x")).where("x.more > 0")
-    if longs.isEmpty():
-        return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
-
-    @F.udf("long")
-    def joined(parts):
-        crc = 0
-        for p in parts:
-            crc = crc32_join(crc, p["ids_crc32"], 4 * p["n_tokens"])
-        return crc
-
-    mine = Window.partitionBy("part").orderBy("own_start").rowsBetween(Window.unboundedPreceding, 0)
-    heads = rows.withColumn("_doc", F.sum(F.when(F.col("more") == 0, 1).otherwise(0)).over(mine))
-    grouped = heads.groupBy("part", "_doc").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("more", "n_tokens", "ids_crc32"))).alias("_parts"))
-    return grouped.select("doc_id", "start", "n_tokens", F.when(F.size("_parts") == 1, F.col("_parts")[0]["ids_crc32"]).otherwise(joined("_parts")).alias("ids_crc32"))
+    places = "doc_id long, part int, doc long, own_start long, n_tokens long, ids_crc32 long, more int, split boolean"
+    # Ranges ascend with their number, so what lies before a part is the sum over lower numbers: a row a part.
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = store.groupBy("part").agg(F.sum("n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
+
+    def entries(segments: DataFrame) -> DataFrame:
+        found = segments.select("part", "start", "codes", "doc_ids", "nulls", "cuts", "docs", "more", "split").mapInArrow(freeing(run), places)
+        return found.join(bases, "part").withColumn("start", F.col("own_start") + F.col("_base"))
+
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    # Only documents cut into parts are grouped: a row a part, LONGEST tokens each.
+    cut = entries(store.where(F.exists("split", lambda x: x))).where("split").groupBy("part", "doc").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("more", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc")))).alias("parts"))
+
+    def joined(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column(3).to_pylist():
+                crc = 0
+                for p in parts:
+                    crc = crc32_join(crc, p["crc"], 4 * p["n"])
+                out.append(crc)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out, pa.int64())], columns)
+
+    whole = cut.select(*columns[:3], "parts").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return entries(store).where("NOT split").select(columns).unionByName(whole)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
