@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -288,6 +289,57 @@ def test_html_beside_cells():
         assert html_text.render(page) == text, page
 
 
+def test_html_parts():
+    """Select and option, row spans, section order, list numbers, visible parts of hidden ones, attributes by name."""
+    for page, text in (
+        ("<p>a<select><option>One<option>Two</select>b<button>Go</button>", "abGo"), ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<table><tr><td rowspan=0>A<td colspan=2>b<tr><td>c<td>d</table>", "A  b\n   c  d"), ("<table><tfoot><tr><td>foot<tbody><tr><td>body<thead><tr><td>head</table>", "head\nbody\nfoot"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"), ("<ol><li value=5>x<li>y<li hidden>n<li>z</ol>", "5. x\n6. y\n7. z"), ("<ol type=a start=27><li>q</ol><ol type=I><li>r<li>s</ol>", "aa. q\n\nI. r\nII. s"),
+        ('<div style="visibility:hidden">no<p style="visibility:visible">yes<b>!</b></p>no<hr></div>z', "yes!\nz"), ("<div style='display:none'>no<p style='visibility:visible'>no</div>z", "z"),
+        ('<p class="foo hidden bar">x<p title="the hidden truth">y<p style=display:none>n', "x\n\ny"), ("<p data-start=4>x<ol data-start=9><li>y</ol>", "x\n\n1. y"), ("x<a title='a>b'>c</a>", "xc"), ("x <b", "x"), ("<b title=\"x>y</b>z", "yz"),
+    ):
+        assert html_text.render(page) == text, page
+
+
+def test_html_malformed_pages_take_linear_time():
+    for part in ("<a ", '<a "', "<a b='", "<", "<!--", '<a b=">', "<p><b>", "<option>", "<table><tr><td>", "<a = "):
+        began = time.process_time()
+        html_text.render(part * (2_000_000 // len(part)))
+        assert time.process_time() - began < 20, part
+
+
+def test_html_visible_text():
+    """Against a standard event parser: the same visible words, in order, on pages without tables."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title")
+            self.out += [] if tag in ("b", "span", "script", "style", "title") else [" "]
+
+        def handle_endtag(self, tag):
+            self.out += [] if tag in ("b", "span", "script", "style", "title") else [" "]
+            self.off -= tag in ("script", "style", "title")
+
+        def handle_data(self, data):
+            self.out += [] if self.off else [data]
+
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            t = prose(rng.randint(1, 8))
+            parts.append(rng.choice([f"<p>{t}", f"<p>{t}</p>", f"<div>{t}</div>", f"<b>{t}</b> ", f"<h2>{t}</h2>", f"<script>var x = '{t}';</script>", f"<blockquote>{t}</blockquote>", f"<!-- {t} -->", f" {t} &amp; {t} ", f"<style>{t}</style>", f"<span class='hidden'>{t}</span> "]))
+        page = f"<html><head><title>{prose(3)}</title></head><body>{''.join(parts)}</body></html>"
+        parser = Words()
+        parser.feed(page)
+        parser.close()
+        assert html_text.render(page).split() == "".join(parser.out).split(), page
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, "u", None), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.text) for r in html_text.extract(pages).collect()) == [("1", "a"), ("1", "a"), ("None", "")]
@@ -323,6 +375,26 @@ def test_licences_wrapped(spark):
     assert sorted(found[5000]) == [(0, "Apache"), (1, "MIT")]
 
 
+def test_licences_held_out(spark):
+    """Notices worded otherwise than the templates, and sentences that only use their words."""
+    notices = [
+        ("MIT", "The code is released under the MIT License, see LICENSE"), ("MIT", "permission is hereby granted free of charge to any person who obtains a copy of this software and associated documentation"),
+        ("Apache", "This project is licensed under the Apache License, Version 2.0"), ("Apache", "Licensed under the Apache License Version 2.0 (the License); you may not use this file except in compliance with the License."),
+        ("GPL", "This work is licensed under the GNU General Public License, version 2."), ("GPL", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+        ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 3."), ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met"),
+        ("MPL", "This Source Code is subject to the terms of the Mozilla Public License, v. 2.0."), ("CC-BY-NC", "The photos are licensed under CC BY-NC 4.0."), ("Public domain", "This is free and unencumbered software, released into the public domain."), ("Proprietary", "Copyright 2021 The Company. All rights reserved."),
+    ]
+    others = ["all rights reserved seats were sold", "the public library is open to any person free of charge", "you may use the source of the river", "a general license to drive", "the software was redistributed to schools in the general area", "he is a member of the foundation", prose(40)]
+    rows = [(k, t) for k, (_, t) in enumerate(notices)] + [(100 + k, t) for k, t in enumerate(others)]
+    found = {(r.doc_id, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((k, f) in found for k, (f, _) in enumerate(notices)) >= 0.9 * len(notices)
+    assert not [k for k, _ in found if k >= 100] and len(found) <= len(notices)
+    keys = licenses.key_words()
+    for v in licenses.TEMPLATES.values():  # whatever confirms a template holds a key word
+        for words in map(licenses.tokens, v):
+            assert sum(not {*p} & {*keys} for p in {*zip(words, words[1:])}) < licenses._need(words)
+
+
 def test_quality(docs, none):
     def base(t):
         t = t or ""
@@ -361,6 +433,44 @@ def test_quality_histograms_alone(spark):
             assert (r.word_js > quality.WORD_LIMIT, r.class_js > quality.CLASS_LIMIT) == ((True, False) if d < 200 else (False, True))
 
 
+def test_quality_distances(docs, spark):
+    """Distances, references and verdicts against NumPy, with the corpus of sf0.001."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    common = {w: k for k, w in enumerate(quality.WORDS)}
+    lower = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    kinds = dict.fromkeys("abcdefghijklmnopqrstuvwxyz", 0) | dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1) | dict.fromkeys("0123456789", 2) | dict.fromkeys(" \t\n\v\f\r", 3) | dict.fromkeys(".,;:!?", 4) | dict.fromkeys("\"'()-", 5) | dict.fromkeys("#*$%&|<>", 6)
+    hist = {}
+    for r in table.collect():
+        c, w = np.zeros(9), np.zeros(len(common) + 1)
+        for ch in r.text or "":
+            c[kinds.get(ch, 8 if ord(ch) > 127 else 7)] += 1
+        for x in WORD.findall(r.text or ""):
+            w[common.get(lower(x[:-1] if x[-1] in ".," else x), len(common))] += 1
+        hist[r.doc_id] = (r.lang or "", c, w)
+    got = {r.doc_id: r for r in quality.judge(table).collect()}
+    lead = {lead for lead in "".join(r.text or "" for r in table.collect()) if ord(lead) > 127}
+    assert all(ord(ch) >= 0xC0 and ch.encode()[0] >= 0xC0 for ch in lead)  # the bytes' classes equal the characters'
+
+    def distance(p, q):
+        m = (p + q) / 2
+        term = lambda x: np.sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0))
+        return np.sqrt(max(0.0, (term(p) + term(q)) / 2))
+
+    for k, (name, least, limit) in enumerate((("class_js", quality.MIN_CHARS, quality.CLASS_LIMIT), ("word_js", quality.MIN_WORDS, quality.WORD_LIMIT)), 1):
+        enough = {d: h[k].sum() >= least for d, h in hist.items()}
+        for lang in {h[0] for h in hist.values()}:
+            own = [h[k] / h[k].sum() for d, h in hist.items() if h[0] == lang and enough[d] and not got[d].base_failed]
+            ref = np.mean(own, 0) if len(own) >= quality.SUPPORT else None
+            for d, h in hist.items():
+                if h[0] == lang:
+                    value = getattr(got[d], name)
+                    assert (value is not None) == (ref is not None and enough[d])
+                    if value is not None:
+                        assert value == pytest.approx(distance(h[k] / h[k].sum(), ref), abs=1e-4)
+    for r in got.values():
+        assert r.kept == (not r.base_failed and (r.class_js is None or r.class_js <= quality.CLASS_LIMIT) and (r.word_js is None or r.word_js <= quality.WORD_LIMIT))
+
+
 def test_quality_small_language(spark):
     """A language without a reference of its own has no distance, and keeps its clean documents."""
     letters = "абвгдежзиклмнопрст"
