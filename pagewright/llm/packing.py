@@ -73,16 +73,39 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By elimination with row pivots, without the linear algebra library, whose threads may stall beside a JVM."""
+    k = len(a)
+    wide = np.concatenate([a, np.eye(k)], 1)
+    for j in range(k):
+        p = j + int(np.abs(wide[j:, j]).argmax())
+        wide[[j, p]] = wide[[p, j]]
+        wide[j] /= wide[j, j]
+        rest = wide[:, j].copy()
+        rest[j] = 0.0
+        wide -= rest[:, None] * wide[j][None, :]
+    return wide[:, k:]
+
+
 def _configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple[float, list[tuple[int, np.ndarray]]]:
-    """The configuration programme's value, and (whole multiplicity, slots of each size) from it."""
+    """A lower bound of the configuration programme, and (whole multiplicity, slots of each size) from it.
+
+    Column generation stops at the optimum, or where turns no longer gain; every turn's prices give a bound.
+    """
     size, b = np.array(sizes), np.array(demand, float)
     k = len(size)
     basis = np.diag(capacity // size).astype(float)
     inverse = np.diag(1 / np.diag(basis))
     room = np.arange(capacity + 1)[None, :] - size[:, None]
     fits, at = room >= 0, np.maximum(room, 0)
-    for turn in range(40 * k):
+    bound, value_then, idle = 0.0, np.inf, 0
+    for turn in range(8 * k):
         price = inverse.sum(0)
+        now = float((price * b).sum())
+        idle = 0 if now < value_then * (1 - 1e-6) else idle + 1
+        value_then = min(value_then, now)
+        if not np.isfinite(price).all() or idle > 40:
+            break
         # The best value of at most 1, 2, ... items of large size, for every capacity at once.
         best, picks = np.zeros(capacity + 1), []
         for _ in range(capacity // int(size.min())):
@@ -91,6 +114,8 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple
             top = value[g, np.arange(capacity + 1)]
             picks.append(np.where(top > best + 1e-12, g, -1))
             best = np.maximum(best, top)
+        if price.min() >= 0:
+            bound = max(bound, now / max(1.0, best[capacity]))
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
@@ -98,17 +123,19 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple
             if pick[c] >= 0:
                 column[pick[c]] += 1
                 c -= int(size[pick[c]])
-        level, step = inverse @ b, inverse @ column
+        level, step = (inverse * b).sum(1), (inverse * column).sum(1)
         ratio = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
         basis[:, out] = column
-        if turn % 64 == 63:
-            inverse = np.linalg.inv(basis)
+        if turn % 16 == 15 or step[out] < 1e-6:
+            inverse = _inverse(basis)
         else:  # the new column enters the inverse
             row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
+            inverse -= step[:, None] * row[None, :]
             inverse[out] = row
-    level = np.linalg.solve(basis, b)
+    level = (_inverse(basis) * b).sum(1)
     found, left = [], b.copy()
     for j in np.argsort(-level):
         slots = np.maximum(basis[:, j], 0).round().astype(int)
@@ -117,7 +144,7 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> tuple
         if whole > 0:
             found.append((whole, slots))
             left -= whole * slots
-    return float(level.sum()), found
+    return bound, found
 
 
 def _grouped(left: dict[int, int], large: list[int], groups: int) -> list[list[list[int]]]:
