@@ -3,22 +3,27 @@
 1. Every document becomes its set of n-word shingles (64-bit tokens). Equal sets are one class
    with a representative; they link with one another whatever the threshold.
 2. Tokens are ordered: the most frequent last, by ascending frequency; before them long
-   shingles first. Sets of s tokens with a similarity of t share a token among their first
-   ``s - ceil(t s) + 1``. Any order gives the same links; this one keeps frequent tokens out.
+   shingles first. Linked sets share ``shared_tokens`` tokens at least among the first of each
+   (its prefix). Any order gives the same links; this one keeps frequent tokens out.
    Frequencies come from all documents: a token counts where a task holds it ``LOCAL`` times,
    and the ``FREQUENT`` most frequent of these are kept, which bounds what tasks load.
-3. Classes with equal prefix and size are collapsed into one group. Groups that share a prefix
-   token, and one of two size bands, form a bucket: sets whose sizes allow a link share a band.
-   Buckets with the same members are one; buckets with a group in common are one cluster.
-4. A cluster is expanded to its members, with their whole texts, and verified in blocks of
-   ``BLOCK_ROWS``: a task takes two blocks at most, whatever a cluster's size. Intersections are counted
-   exactly, by matrix products for tokens that many members share. A block yields a spanning
-   forest of its links, never all pairs; that keeps the components, which are the result.
+3. Classes with equal prefix and size are collapsed into one group. An index holds each group under
+   the prefix tokens that another group has too; groups with too few of those have no link.
+4. Group pairs come in two turns, as the result is components, not links. First every group meets
+   the leader of each of its tokens (the group of near size that has the token foremost), and leaders of
+   neighbouring sizes meet: pairs in proportion to the index, however many groups share a token. Then
+   groups that share a token and aren't connected yet meet, except within the component that most of the
+   token's groups belong to: pairs are filtered by size, by the overlap that positions still allow, and by
+   how many prefix tokens they share. No pair that may be a link between components is left out.
+5. Group pairs are expanded to their classes and verified: sets meet in joins, intersections are exact.
 
 Edge cases: null text, and text without words, has an empty set and links with nothing, so each
 such row is its own component; a text of fewer than n words has its whole sequence as one
 shingle; repeated rows are copies; ids may repeat with different texts; rows with a null id link
-like others but can't name a component (a component of nulls only has none); an empty table gives an empty result.
+like others but can't name a component (a component of nulls only has none); other columns have no part; an
+empty table gives an empty result.
+
+Classes and groups are named by 64-bit fingerprints, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -37,7 +42,6 @@ from .components import components
 
 LOCAL = 8
 FREQUENT = 1 << 17
-BLOCK_ROWS = 1024
 SHARED = 16
 #: Tokens that a task counts at a time: 12 MB.
 HELD = 1_500_000
@@ -128,82 +132,18 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, n_shingles long, one long, two long, prefix array<long>")
 
 
-def _forest(sets: list[np.ndarray], sizes: np.ndarray, split: int, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with split, only links across that place count."""
-    m = len(sets)
-    parent = list(range(m))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    flat = np.concatenate(sets)
-    row = np.repeat(np.arange(m), sizes)
-    order = np.argsort(flat, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1], [True]]))
-    many = np.diff(edge)
-    shared = np.flatnonzero(many > 1)
-    common = np.zeros((m, m), np.float32)
-    often = shared[many[shared] > max(8, m // 32)]
-    for k in range(0, len(often), 2048):  # columns of a 0/1 matrix
-        part = often[k : k + 2048]
-        lens = many[part]
-        at = np.repeat(edge[part], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-        grid = np.zeros((m, len(part)), np.float32)
-        grid[row[order[at]], np.repeat(np.arange(len(part)), lens)] = 1
-        common += grid @ grid.T
-    seldom = shared[many[shared] <= max(8, m // 32)]
-    flatc = common.reshape(-1)
-    for size in np.unique(many[seldom]):
-        part = seldom[many[seldom] == size]
-        for k in range(0, len(part), max(1, 4_000_000 // int(size * size))):
-            rows = row[order[edge[part[k : k + max(1, 4_000_000 // int(size * size))]][:, None] + np.arange(size)]]
-            pair = (rows[:, :, None] * m + rows[:, None, :]).ravel()
-            flatc += np.bincount(pair, minlength=m * m).astype(np.float32) if len(pair) * 8 > m * m else 0
-            if len(pair) * 8 <= m * m:
-                np.add.at(flatc, pair, np.float32(1))
-    both = sizes[:, None] + sizes[None, :]
-    inter = common.astype(np.int64)
-    link = np.triu(den * inter >= num * (both - inter), 1)
-    if split:
-        link[:split, :split] = False
-        link[split:, split:] = False
-    out = []
-    for a, b in zip(*(x.tolist() for x in np.nonzero(link))):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[rb] = ra
-            out.append((a, b))
-    return out
-
-
-def _verified(members: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) within buckets; members: bucket, rep, many; texts: rep, text, one, two.
-
-    A bucket's texts travel once for each pair of blocks, and become sets where they arrive; a text
-    whose set isn't its class's (ids may repeat) is left out.
-    """
-    wide = F.ceil(F.col("many") / F.lit(BLOCK_ROWS)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), wide).cast("int")
-    dealt = members.withColumn("_n", wide).withColumn("_mine", mine).join(texts, "rep").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.select("bucket", F.least("_mine", "_other").alias("low"), F.greatest("_mine", "_other").alias("high"), "_mine", "rep", "text", "one", "two")
+def _set_rows(docs: DataFrame, n: int) -> DataFrame:
+    """least (the id), one, two, set of every row of docs (least, text)."""
 
-    def run(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        own, reps, one, two = (table.column(c).to_pylist() for c in ("_mine", "rep", "one", "two"))
-        sets = []
-        buf, offs = raw(table.column("text"))
-        for i, j in blocks(offs):
-            sets += shingle_sets(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-        good = sorted((k for k, x in enumerate(sets) if _marks(x) == (one[k], two[k])), key=lambda k: own[k])
-        kept = [sets[k] for k in good]
-        split = sum(own[k] == low for k in good) if high > low else 0
-        pairs = _forest(kept, np.array([len(x) for x in kept]), split, num, den) if len(kept) > 1 else []
-        return pa.table({"a": pa.array([reps[good[a]] for a, _ in pairs], pa.int64()), "b": pa.array([reps[good[b]] for _, b in pairs], pa.int64())})
+    def run(batches):
+        for batch in batches:
+            for i, sets in _sets(batch, 1, n):
+                marks = [_marks(x) for x in sets]
+                cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), flat], ["least", "one", "two", "set"])
 
-    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+    return docs.select("least", "text").mapInArrow(freeing(run), "least long, one long, two long, set array<long>")
 
 
 def _marks(x: np.ndarray) -> tuple[int, int]:
@@ -214,52 +154,105 @@ def _marks(x: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _bands(num: int, den: int) -> Column:
-    """The two size bands of a set: sets whose sizes allow a link share one of them."""
+def _enough(size: Column) -> Column:
+    """``shared_tokens`` of a size."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(size / 4)))
+
+
+def _index(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """token, band (of the size), pos, grp, size: groups by the prefix tokens that they share with others."""
+    entries = groups.select("grp", "size", F.posexplode("prefix").alias("pos", "token"))
+    shared = written(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
+    left = F.count("*").over(Window.partitionBy("grp"))  # a prefix at most
+    least = F.ceil(F.col("size") * num / F.lit(den))  # of the sets that it may link with
     band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
-    return F.array(band, band + 1)
+    return entries.join(shared, "token").withColumn("_left", left).where(F.col("_left") >= _enough(least)).select("token", band.alias("band"), "pos", "grp", "size")
+
+
+def _near(a: Column, b: Column, num: int, den: int) -> Column:
+    """Whether two sizes allow a link."""
+    return num * F.greatest(a, b) <= den * F.least(a, b)
+
+
+def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Group pairs (a, b): every group and its leaders, and leaders of neighbouring bands."""
+    first = index.groupBy("token", "band").agg(F.min(F.struct("pos", "grp", "size")).alias("l"), F.count("*").alias("n"))
+    leaders = written(first.select("token", "band", F.col("l.grp").alias("leader"), F.col("l.size").alias("leader_size"), "n"), "leaders")
+    met = index.join(leaders.where("n > 1"), ["token", "band"]).where(F.col("grp") != F.col("leader"))
+    own = met.where(_near(F.col("size"), F.col("leader_size"), num, den)).select(F.col("grp").alias("a"), F.col("leader").alias("b"))
+    above = leaders.select("token", (F.col("band") - 1).alias("band"), F.col("leader").alias("a"), F.col("leader_size").alias("_size"))
+    beside = leaders.join(above, ["token", "band"]).where((F.col("a") != F.col("leader")) & _near(F.col("_size"), F.col("leader_size"), num, den))
+    return own.union(beside.select("a", F.col("leader").alias("b"))).distinct()
+
+
+def _rest_pairs(index: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of unconnected parts (ga, ca, gb, cb) that may link; parts: grp, comp, the components of each group."""
+    held = index.join(parts, "grp")
+    open_ = written(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "open")
+    rows = written(held.join(open_, "token"), "rows")
+    major = rows.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("comp", "n").alias("major"))
+    marked = written(rows.join(major, "token"), "marked")
+    a = marked.where("comp <> major").select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("pos").alias("pa"), F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
+    b = marked.select("token", "band", F.col("pos").alias("pb"), F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("size").alias("sb"), "major")
+    met = a.join(b, ["token", "band"]).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("ca") < F.col("cb"))) & _near(F.col("sa"), F.col("sb"), num, den))
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb")
+    met = met.where((num + den) * most >= num * (F.col("sa") + F.col("sb")))
+    # Which side a part is on depends on the token; a pair counts its tokens under one name.
+    ordered = F.when(F.col("ca") < F.col("cb"), F.struct("ga", "ca", "gb", "cb")).otherwise(F.struct(F.col("gb").alias("ga"), F.col("cb").alias("ca"), F.col("ga").alias("gb"), F.col("ca").alias("cb")))
+    met = met.select(ordered.alias("pair"), "sa", "sb").select("pair.*", "sa", "sb")
+    found = met.groupBy("ga", "ca", "gb", "cb").agg(F.count("*").alias("n"), F.min(F.least("sa", "sb")).alias("size")).where(F.col("n") >= _enough(F.col("size"))).drop("n", "size")
+    # Parts of one group share the whole prefix.
+    within = parts.groupBy("grp").agg(F.min("comp").alias("ca"), F.max("comp").alias("_top")).where("ca <> _top")
+    own = parts.join(within, "grp").where("comp <> ca").select("grp", "ca", F.col("comp").alias("cb"))
+    rest = parts.join(within.select("grp", F.col("ca").alias("least")), "grp").where("comp <> least")
+    both = rest.select("grp", F.col("comp").alias("ca")).join(rest.select("grp", F.col("comp").alias("cb")), "grp").where("ca < cb")
+    return found.union(own.unionByName(both).select(F.col("grp").alias("ga"), "ca", F.col("grp").alias("gb"), "cb"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among pairs of classes (a, b)."""
+    met = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a")
+    common = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", (F.size("x") + F.size("y")).alias("both"), common.alias("common")).where((num + den) * F.col("common") >= num * F.col("both")).select("a", "b")
 
 
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two link when den * common >= num * union."""
-    table = written(_prefixes(docs.select("doc_id", "text"), n, num, den), "prefixes")
+    spark = docs.sparkSession
+    table = written(_prefixes(docs.select("doc_id", "text"), n, num, den).withColumn("grp", F.xxhash64("prefix", "n_shingles")), "prefixes")
     full = table.where("n_shingles > 0")
     same = ["one", "two", "n_shingles"]
-    reps = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.first("prefix").alias("prefix"))
-    reps = written(reps.withColumn("grp", F.xxhash64("prefix", "n_shingles")).withColumn("rep", F.xxhash64(*same)), "classes")
-    groups = reps.groupBy("grp").agg(F.count("*").alias("many"), F.min("n_shingles").alias("size"), F.first("prefix").alias("prefix"))
-    entries = groups.select("grp", "many", "size", F.explode("prefix").alias("token"))
-    # A bucket of one class has no pair. One exchange by token counts and keeps in the same pass.
-    shared = entries.withColumn("_all", F.sum("many").over(Window.partitionBy("token"))).where("_all > 1").drop("_all")
-    # Prefix buckets by size: documents that share a passage but not their length part here.
-    banded = shared.withColumn("band", F.explode(_bands(num, den)))
-    bucket = Window.partitionBy("token", "band")
-    banded = banded.withColumn("_all", F.sum("many").over(bucket)).where("_all > 1").drop("_all")
-    # Linked sets share several prefix tokens of one band; a set with fewer left there has no link.
-    lower = F.ceil(F.col("size") * num / F.lit(den))
-    enough = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(lower / 4)))
-    banded = banded.withColumn("_left", F.count("*").over(Window.partitionBy("grp", "band"))).where(F.col("_left") >= enough).drop("_left")
-    banded = written(banded, "entries")
-    member = F.xxhash64("grp", "size")
-    kept = banded.groupBy("token", "band").agg(F.sum("many").alias("many"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(F.xxhash64("size", "grp"), 20)).alias("y")).where("many > 1")
-    # Buckets with the same members are one.
-    kept = written(kept.groupBy("x", "y", "many").agg(F.min(F.struct("token", "band")).alias("t")).select("t.token", "t.band", "many"), "buckets")
-    # Buckets that share a group make one cluster, so that a text travels once, not once a bucket.
-    held = written(banded.select("token", "band", "grp").join(kept, ["token", "band"]).select(F.xxhash64("token", "band").alias("bucket"), "grp"), "held")
-    first = F.min("grp").over(Window.partitionBy("bucket"))
-    clusters = components(held.select("grp", first.alias("first")).where("grp <> first").select(F.col("grp").alias("a"), F.col("first").alias("b")))
-    placed = held.select("grp").distinct().join(clusters.withColumnRenamed("node", "grp"), "grp", "left").select("grp", F.coalesce("component", "grp").alias("bucket"))
-    members = reps.select("grp", "rep").join(placed, "grp").select("bucket", "rep")
-    members = written(members.join(members.groupBy("bucket").agg(F.count("*").alias("many")), "bucket"), "members")
-    wanted = members.select("rep").distinct().join(reps.select("rep", "least", "one", "two"), "rep")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("least"), "text").join(wanted.withColumn("least", F.coalesce("least", F.lit(_NULL))), "least")
-    links = written(_verified(members, texts.select("rep", "text", "one", "two"), n, num, den), "links")
-    for done in (banded, kept, held, members):
-        drop(docs.sparkSession, done)
-    found = components(links)
-    named = reps.select(*same, "rep", "least").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.select(*same, "component").join(least, "component").select(*same, "component_id")
-    linked = table.select("doc_id", *same).join(named, same, "left")
+    classes = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.min("grp").alias("grp")).withColumn("rep", F.xxhash64(*same))
+    classes = written(classes, "classes")
+    groups = written(full.groupBy("grp").agg(F.min("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "groups")
+    index = written(_index(groups, num, den), "index")
+    led = classes.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("many"))
+    wide = classes.select("grp", "rep", "least", "one", "two").join(led, "grp")
+    indexed = index.select("grp").distinct().withColumn("_in", F.lit(True))
+    members = written(wide.join(indexed, "grp", "left").where("many > 1 OR _in").drop("_in", "many"), "members")
+    # The sets of classes that may link, each from the text of its least id.
+    wanted = members.select("rep", F.coalesce("least", F.lit(_NULL)).alias("least"), "one", "two")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("least"), "text").join(wanted.select("least").distinct(), "least")
+    sets = written(_set_rows(texts, n).join(wanted, ["least", "one", "two"]).select("rep", "set").dropDuplicates(["rep"]), "sets")
+    name = members.select("grp", "rep", "leader")
+    own = name.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    stars = _star_pairs(index, num, den).join(name.select(F.col("grp").alias("a"), F.col("rep").alias("_a")), "a").join(name.where("rep = leader").select(F.col("grp").alias("b"), F.col("leader").alias("_b")), "b")
+    pairs = written(own.union(stars.select("_a", "_b")).distinct(), "pairs")
+    found = components(_verified(pairs, sets, num, den))
+    named = written(name.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("comp")), "named")
+    rest = written(_rest_pairs(index, named.select("grp", "comp").distinct(), num, den), "rest")
+    side = lambda x: named.select(F.col("grp").alias(f"g{x}"), F.col("comp").alias(f"c{x}"), F.col("rep").alias(x))
+    more = rest.join(side("a"), ["ga", "ca"]).join(side("b"), ["gb", "cb"])
+    at = named.select("rep", "comp")
+    links = _verified(more.select("a", "b").distinct(), sets, num, den).join(at.select(F.col("rep").alias("a"), F.col("comp").alias("_a")), "a").join(at.select(F.col("rep").alias("b"), F.col("comp").alias("_b")), "b")
+    joined = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    last = at.join(joined.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("component"))
+    ended = classes.select(*same, "rep", "least").join(last, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = ended.groupBy("component").agg(F.min("least").alias("component_id"))
+    ended = ended.join(least, "component").select(*same, "component_id")
     alone = F.col("n_shingles") == 0
-    return linked.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
+    out = table.select("doc_id", *same).join(ended, same, "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
+    out = written(out, "joined")
+    for done in (table, classes, groups, index, members, sets, pairs, named, rest):
+        drop(spark, done)
+    return out
