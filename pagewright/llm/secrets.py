@@ -10,7 +10,8 @@ body in the last six characters), payment ``card`` numbers (Luhn), ``jwt`` (its
 decode to JSON with "alg").
 
 Spans are in code points, end exclusive. Edge cases: null counts as empty, and a text without a
-secret has counts 0 and an empty span list; repeated rows and null ids are scanned like others.
+secret has counts 0 and an empty span list; repeated rows and null ids are scanned like others; other
+columns have no part in a scan and pass through a redaction; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,65 +137,82 @@ def hex_runs(buf: np.ndarray, offs: np.ndarray, least: int = LEAST["hex"]) -> li
     return out
 
 
+def _found(texts: pa.Array, find: ahocorasick.Automaton):
+    """For blocks of rows: (first row, their bytes, offsets, spans in bytes of each row with any)."""
+    buf, offs = raw(texts)
+    for i, j in blocks(offs):
+        own, cuts = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        flat = own.tobytes()
+        hits: dict[int, list[tuple[int, str]]] = {}
+        for end, (name, n) in find.iter(flat.lower().decode("latin-1")):
+            at = end - n + 1
+            r = int(np.searchsorted(cuts, at, side="right")) - 1
+            if end < cuts[r + 1]:
+                hits.setdefault(r, []).append((at - int(cuts[r]), name))
+        runs: dict[int, list[tuple[int, int, str]]] = {}
+        for r, a, e in hex_runs(own, cuts):
+            runs.setdefault(r, []).append((a - int(cuts[r]), e - int(cuts[r]), "hex"))
+        spans = {}
+        for r in {*hits, *runs}:
+            found = _anchored(flat[cuts[r] : cuts[r + 1]], sorted(hits.get(r, ()))) + runs.get(r, [])
+            if found:
+                spans[r] = sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
+        yield i, flat, cuts, spans
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """All spans of every text: doc_id, spans array<struct<kind, start, end>> by start, then kind."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         find = automaton()
+        kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            buf, offs = raw(batch.column(1))
-            for i, j in blocks(offs):
-                own, cuts = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                flat = own.tobytes()
-                hits: dict[int, list[tuple[int, str]]] = {}
-                row_of = lambda at: int(np.searchsorted(cuts, at, side="right")) - 1
-                for end, (name, n) in find.iter(flat.lower().decode("latin-1")):
-                    at = end - n + 1
-                    r = row_of(at)
-                    if end < cuts[r + 1]:
-                        hits.setdefault(r, []).append((at - int(cuts[r]), name))
-                runs: dict[int, list[tuple[int, int, str]]] = {}
-                for r, a, e in hex_runs(own, cuts):
-                    runs.setdefault(r, []).append((a - int(cuts[r]), e - int(cuts[r]), "hex"))
-                spans = [[] for _ in range(j - i)]
-                for r in {*hits, *runs}:
-                    text = flat[cuts[r] : cuts[r + 1]]
-                    found = _anchored(text, sorted(hits.get(r, ()))) + runs.get(r, [])
-                    found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-                    lead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                    spans[r] = [{"kind": k, "start": int(lead[a]), "end": int(lead[e])} for a, e, k in found]
-                kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(spans, kinds)], ["doc_id", "spans"])
+            for i, flat, cuts, found in _found(batch.column(1), find):
+                spans = [[] for _ in cuts[1:]]
+                for r, own in found.items():
+                    lead = np.concatenate([[0], np.cumsum((np.frombuffer(flat[cuts[r] : cuts[r + 1]], np.uint8) & 0xC0) != 0x80)])
+                    spans[r] = [{"kind": k, "start": int(lead[a]), "end": int(lead[e])} for a, e, k in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(spans)), pa.array(spans, kinds)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(freeing(run), f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret's characters replaced; all columns stay."""
+    """``docs`` with every secret's characters replaced; all columns stay, and null texts stay null."""
 
-    @F.pandas_udf("string")
-    def cut(texts):
+    def run(batches):
         find = automaton()
-        return texts.map(lambda t: None if t is None else redact_text(t, find, mark))
+        for batch in batches:
+            k = batch.schema.get_field_index("text")
+            for i, flat, cuts, found in _found(batch.column(k), find):
+                rows = batch.slice(i, len(cuts) - 1)
+                if found:
+                    texts = rows.column(k).to_pylist()
+                    for r, spans in found.items():
+                        texts[r] = _without(flat[cuts[r] : cuts[r + 1]], spans, mark).decode("utf-8", "surrogatepass")
+                    rows = rows.set_column(k, "text", pa.array(texts, batch.schema.field(k).type))
+                yield rows
 
-    return docs.withColumn("text", cut("text"))
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
-def redact_text(text: str, find: ahocorasick.Automaton, mark: str) -> str:
-    """One text with its secrets, overlapping ones joined, replaced by ``mark``."""
-    flat = text.encode("utf-8", "surrogatepass")
-    hits = sorted((end - n + 1, name) for end, (name, n) in find.iter(flat.lower().decode("latin-1")))
-    buf = np.frombuffer(flat, np.uint8)
-    found = _anchored(flat, hits) + [(a, e, "hex") for _, a, e in hex_runs(buf, np.array([0, len(buf)]))]
-    if not found:
-        return text
+def _without(flat: bytes, spans: list[tuple[int, int, str]], mark: str) -> bytes:
+    """A text with its spans, overlapping ones joined, replaced by ``mark``."""
     out, at = [], 0
-    for a, e, _ in sorted(found):
+    for a, e, _ in sorted(spans):
         if a >= at:
             out += [flat[at:a], mark.encode()]
         at = max(at, e)
-    return b"".join([*out, flat[at:]]).decode("utf-8", "surrogatepass")
+    return b"".join([*out, flat[at:]])
+
+
+def redact_text(text: str, find: ahocorasick.Automaton, mark: str) -> str:
+    """One text without its secrets."""
+    flat = text.encode("utf-8", "surrogatepass")
+    for _, _, _, found in _found(pa.array([flat], pa.large_binary()), find):
+        flat = _without(flat, found.get(0, []), mark)
+    return flat.decode("utf-8", "surrogatepass")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
