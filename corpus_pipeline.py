@@ -2,6 +2,12 @@
 
 Every stage takes all that its predecessor kept, as a written table. A row is told apart by
 its id and text together, so null and repeated ids do no harm.
+
+Edge cases, for all stages: a null or empty text has no words, so the quality rules reject it; given to a later
+stage by itself, it is in no group of near copies, holds no item and no secret, and packs as its end id alone.
+Very long texts are handled whole. Of rows alike in id and text the near-duplicate stage keeps one; the others keep or
+reject them alike. Of ties the smallest id stays, null ids last. Other columns pass through, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate, jaccard_join, packing, quality, secrets
-from pagewright.llm._scratch import written
+from pagewright.llm._scratch import drop, written
 
 #: SQL has no SimHash, trained vocabulary or packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -26,8 +32,9 @@ def _as_rows(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    gone = written(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected")
-    return docs.join(gone, _uid() == F.col("_gone"), "left_anti")
+    gone = written(rejected.select(F.col("doc_id").alias("uid")).distinct(), "rejected")
+    kept = docs.select(F.struct("*").alias("row"), _uid().alias("uid")).join(gone, "uid", "left_anti")
+    return kept.select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     null id comes last in its group. Documents with an empty set are in no group. Of rows alike in id and
     text one stays.
     """
-    found = jaccard_join.join(_as_rows(docs), 5, 80, 100).select(F.col("doc_id").alias("_uid"), "component_id").distinct()
-    named = written(docs.select("doc_id", _uid().alias("_uid")).distinct().join(found, "_uid"), "named")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid"))["_uid"].alias("_uid"))
-    kept = _without(docs, named.join(first, "_uid", "left_anti").select(F.col("_uid").alias("doc_id"))).withColumn("_uid", _uid())
-    return kept.dropDuplicates(["doc_id", "_uid"]).select(docs.columns)
+    found = jaccard_join.join(_as_rows(docs), 5, 80, 100).select(F.col("doc_id").alias("uid"), "component_id").distinct()
+    named = written(docs.select("doc_id", _uid().alias("uid")).distinct().join(found, "uid"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
+    kept = _without(docs, named.join(first, "uid", "left_anti").select(F.col("uid").alias("doc_id")))
+    return kept.select(F.struct("*").alias("row"), "doc_id", _uid().alias("uid")).dropDuplicates(["doc_id", "uid"]).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,6 +84,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and reread as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:  # a stage's result goes when the next one's is stored; the input stays
+            drop(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -181,18 +181,23 @@ def test_jaccard_join(docs, none, spark):
     assert jaccard_join.join(none, 3, 90, 100).count() == 0
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    """Buckets of many blocks lose no link."""
-    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
-    base = prose(100).split()
+def test_jaccard_chains(spark):
+    """Chains whose ends don't link, clusters across sizes, and passages shared by unlike texts."""
     rows = []
-    for k in range(60):
-        w = list(base)
-        for _ in range(k % 4):
-            w[rng.randrange(100)] = f"e{rng.random()}"
-        rows.append((k, " ".join(w)))
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    assert collections.Counter(map(tuple, jaccard_join.join(table, 3, 90, 100).collect())) == components(rows, 3, 90, 100)
+    for c in range(4):
+        base = prose(100).split()
+        for k in range(30):
+            w = list(base)
+            for j in range(k):  # each step changes one more word: neighbours link, ends don't
+                w[3 * j] = f"c{c}e{j}"
+            rows.append((len(rows), " ".join(w[: 100 - (k % 3)])))
+    shared = [prose(30) for _ in range(3)]
+    rows += [(1000 + k, prose(12) + " " + shared[k % 3] + " " + prose(4 + k % 9)) for k in range(60)]
+    grow = prose(300).split()
+    rows += [(2000 + k, " ".join(grow[: 100 + 4 * k])) for k in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for n, num in ((3, 90), (5, 80)):
+        assert collections.Counter(map(tuple, jaccard_join.join(table, n, num, 100).collect())) == components(rows, n, num, 100)
 
 
 def test_jaccard_spacing(spark):
@@ -257,11 +262,35 @@ def test_decontamination(docs, none, spark, monkeypatch):
     want = brute_matches([r[:2] for r in ROWS], items)
     assert (12, 1) in want and (10, 6) in want
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, table).collect()} == want
-    monkeypatch.setattr(decontaminate, "SET", 40)  # more slices, same result
+    monkeypatch.setattr(decontaminate, "SET", 4)  # a shuffle, and a bitmap that lets all through: the same result
+    monkeypatch.setattr(decontaminate, "BITS", 64)
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, table).collect()} == want
     assert decontaminate.matches(none, table).count() == 0 and decontaminate.matches(docs, table.where("item_id > 99")).count() == 0
 
 
+def test_decontamination_recall(spark):
+    """Edited items in long texts: the share found at each similarity, and none below 0.8."""
+    items = [(k, prose(60)) for k in range(40)]
+    rows, level = [], {}
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        for edits in (0, 1, 2):  # one edit changes 5 shingles of 56
+            for _ in range(5):
+                v = list(w)
+                for at in {rng.choice((rng.randrange(60), rng.choice((1, 2, 3, 56, 57, 58)))) for _ in range(edits)}:
+                    v[at] = f"x{rng.random()}".replace(".", "")
+                a, b = (collections.Counter(tuple(x[j : j + 5]) for j in range(56)) for x in (w, v))
+                level[len(rows)] = (k, (a & b).total() / (a | b).total())
+                rows.append((len(rows), prose(80) + " " + " ".join(v) + " " + prose(70)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure = [d for d, (_, s) in level.items() if s >= 0.8]
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [d for d in sure if low <= level[d][1] < high]
+        assert len(own) >= 10 and sum((d, level[d][0]) in got for d in own) >= 0.99 * len(own)
+    assert got >= {(d, level[d][0]) for d in sure if level[d][1] > 0.9} and {d for d, _ in got} <= {d for d, (_, s) in level.items() if s >= 0.7}
+
+
 def test_html():
     page = "<html><head><title>T</title><style>p{}</style><body><h1>Head</h1><p>One <b>bold<p>Two &amp; three<br>four<ul><li>a<li>b<ol start=3><li>x<li>y</ol></ul><table><tr><th>Name<th>Qty<tr><td>apple</td><td>12</td><tr><td>pear<td>3</table><div hidden>no</div><p style='display:none'>no<pre>  keep\n   this</pre>tail"
     assert html_text.render(page) == "Head\n\nOne bold\n\nTwo & three\nfour\n\n- a\n- b\n  3. x\n  4. y\n\nName   Qty\napple  12\npear   3\n\n  keep\n   this\n\ntail"
