@@ -43,6 +43,8 @@ from .components import components
 LOCAL = 8
 FREQUENT = 1 << 17
 SHARED = 16
+#: A token of so many groups has its largest component told apart; of fewer, all groups meet.
+MAJOR = 32
 #: Tokens that a task counts at a time: 12 MB.
 HELD = 1_500_000
 _BITS = 18
@@ -160,13 +162,16 @@ def _enough(size: Column) -> Column:
 
 
 def _index(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """token, band (of the size), pos, grp, size: groups by the prefix tokens that they share with others."""
-    entries = groups.select("grp", "size", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
+    """token, many (groups that have it), pos, grp, size: groups by the prefix tokens that they share with others."""
+    entries = groups.select("grp", F.posexplode("prefix").alias("pos", "token"), "size").select("token", "grp", _packed(F.col("size"), F.col("pos")).alias("at"))
+    shared = written(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "tokens")
     left = F.count("*").over(Window.partitionBy("grp"))  # a prefix at most
-    least = F.ceil(F.col("size") * num / F.lit(den))  # of the sets that it may link with
-    band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
-    return entries.join(shared, "token").withColumn("_left", left).where(F.col("_left") >= _enough(least)).select("token", band.alias("band"), "pos", "grp", "size")
+    least = F.ceil(F.shiftright("at", 32) * num / F.lit(den))  # the size of the sets that it may link with
+    return entries.join(shared, "token").withColumn("_left", left).where(F.col("_left") >= _enough(least)).select("token", "many", (F.col("at") % (1 << 32)).cast("int").alias("pos"), "grp", F.shiftright("at", 32).alias("size"))
+
+
+def _packed(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 32) + low
 
 
 def _near(a: Column, b: Column, num: int, den: int) -> Column:
@@ -175,7 +180,9 @@ def _near(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Group pairs (a, b): every group and its leaders, and leaders of neighbouring bands."""
+    """Group pairs (a, b): every group and its leaders, and leaders of neighbouring bands of size."""
+    band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
+    index = index.select("token", band.alias("band"), "pos", "grp", "size")
     first = index.groupBy("token", "band").agg(F.min(F.struct("pos", "grp", "size")).alias("l"), F.count("*").alias("n"))
     leaders = written(first.select("token", "band", F.col("l.grp").alias("leader"), F.col("l.size").alias("leader_size"), "n"), "leaders")
     met = index.join(leaders.where("n > 1"), ["token", "band"]).where(F.col("grp") != F.col("leader"))
@@ -187,20 +194,18 @@ def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
 
 def _rest_pairs(index: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of unconnected parts (ga, ca, gb, cb) that may link; parts: grp, comp, the components of each group."""
-    held = index.join(parts, "grp")
-    open_ = written(held.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "open")
-    rows = written(held.join(open_, "token"), "rows")
-    major = rows.groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("comp", "n").alias("major"))
-    marked = written(rows.join(major, "token"), "marked")
-    a = marked.where("comp <> major").select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("pos").alias("pa"), F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
-    b = marked.select("token", "band", F.col("pos").alias("pb"), F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("size").alias("sb"), "major")
-    met = a.join(b, ["token", "band"]).where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("ca") < F.col("cb"))) & _near(F.col("sa"), F.col("sb"), num, den))
+    held = written(index.join(parts, "grp"), "held")
+    # Where a token has many groups, those of its largest component don't meet each other.
+    major = held.where(F.col("many") >= MAJOR).groupBy("token", "comp").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    major = written(major, "major")
+    a = held.select("token", F.col("pos").alias("pa"), F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("size").alias("sa")).join(major, "token", "left").where("major IS NULL OR ca <> major")
+    b = held.select("token", F.col("pos").alias("pb"), F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("size").alias("sb"))
     most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb")
-    met = met.where((num + den) * most >= num * (F.col("sa") + F.col("sb")))
+    met = a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("ca") < F.col("cb")) | F.coalesce(F.col("cb") == F.col("major"), F.lit(False))) & _near(F.col("sa"), F.col("sb"), num, den) & ((num + den) * most >= num * (F.col("sa") + F.col("sb"))))
     # Which side a part is on depends on the token; a pair counts its tokens under one name.
     ordered = F.when(F.col("ca") < F.col("cb"), F.struct("ga", "ca", "gb", "cb")).otherwise(F.struct(F.col("gb").alias("ga"), F.col("cb").alias("ca"), F.col("ga").alias("gb"), F.col("ca").alias("cb")))
-    met = met.select(ordered.alias("pair"), "sa", "sb").select("pair.*", "sa", "sb")
-    found = met.groupBy("ga", "ca", "gb", "cb").agg(F.count("*").alias("n"), F.min(F.least("sa", "sb")).alias("size")).where(F.col("n") >= _enough(F.col("size"))).drop("n", "size")
+    met = met.select(ordered.alias("pair"), F.least("sa", "sb").alias("size")).select("pair.*", "size")
+    found = met.groupBy("ga", "ca", "gb", "cb").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(F.col("n") >= _enough(F.col("size"))).drop("n", "size")
     # Parts of one group share the whole prefix.
     within = parts.groupBy("grp").agg(F.min("comp").alias("ca"), F.max("comp").alias("_top")).where("ca <> _top")
     own = parts.join(within, "grp").where("comp <> ca").select("grp", "ca", F.col("comp").alias("cb"))
