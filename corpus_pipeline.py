@@ -22,6 +22,10 @@ from pagewright.llm._scratch import drop, written
 ORACLE_SQL = None
 
 
+#: So many rejected rows at most are broadcast, 8 bytes each; more meet the documents in a shuffle.
+FEW = 500_000
+
+
 def _uid() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -33,7 +37,8 @@ def _as_rows(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     gone = written(rejected.select(F.col("doc_id").alias("uid")).distinct(), "rejected")
-    kept = docs.select(F.struct("*").alias("row"), _uid().alias("uid")).join(gone, "uid", "left_anti")
+    few = F.broadcast(gone) if gone.count() <= FEW else gone
+    kept = docs.select(F.struct("*").alias("row"), _uid().alias("uid")).join(few, "uid", "left_anti")
     return kept.select("row.*")
 
 
