@@ -10,8 +10,8 @@
 3. Classes with equal prefix and size are collapsed into one group. An index holds each group under
    the prefix tokens that another group has too; groups with too few of those have no link.
 4. Group pairs come in two turns, as the result is components, not links. First every group meets
-   the leader of each of its tokens (the group of near size that has the token foremost), and leaders of
-   neighbouring sizes meet: pairs in proportion to the index, however many groups share a token. Then
+   the leader of most of its tokens (a token's leader is the group of near size that has it foremost), and leaders
+   of neighbouring sizes meet: two pairs a group at most, however many groups share a token. Then
    groups that share a token and aren't connected yet meet, except within the component that most of the
    token's groups belong to: pairs are filtered by size, by the overlap that positions still allow, and by
    how many prefix tokens they share. No pair that may be a link between components is left out.
@@ -47,6 +47,8 @@ SHARED = 16
 MAJOR = 32
 #: Tokens that a task counts at a time: 12 MB.
 HELD = 1_500_000
+#: Ids of classes that may link: so many at most are broadcast, 8 bytes each; more meet the texts in a shuffle.
+FEW = 500_000
 _BITS = 18
 _NULL = -(1 << 63)
 
@@ -135,17 +137,17 @@ def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
 
 def _set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """least (the id), one, two, set of every row of docs (least, text)."""
+    """one, two, set of every row of docs (text)."""
 
     def run(batches):
         for batch in batches:
-            for i, sets in _sets(batch, 1, n):
+            for _, sets in _sets(batch, 0, n):
                 marks = [_marks(x) for x in sets]
                 cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), flat], ["least", "one", "two", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), flat], ["one", "two", "set"])
 
-    return docs.select("least", "text").mapInArrow(freeing(run), "least long, one long, two long, set array<long>")
+    return docs.select("text").mapInArrow(freeing(run), "one long, two long, set array<long>")
 
 
 def _marks(x: np.ndarray) -> tuple[int, int]:
@@ -180,7 +182,7 @@ def _near(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Group pairs (a, b): every group and its leaders, and leaders of neighbouring bands of size."""
+    """Group pairs (a, b): every group and the leader of most of its tokens, of its own band of size and of the next."""
     band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
     index = index.select("token", band.alias("band"), "pos", "grp", "size")
     first = index.groupBy("token", "band").agg(F.min(F.struct("pos", "grp", "size")).alias("l"), F.count("*").alias("n"))
@@ -189,7 +191,8 @@ def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
     own = met.where(_near(F.col("size"), F.col("leader_size"), num, den)).select(F.col("grp").alias("a"), F.col("leader").alias("b"))
     above = leaders.select("token", (F.col("band") - 1).alias("band"), F.col("leader").alias("a"), F.col("leader_size").alias("_size"))
     beside = leaders.join(above, ["token", "band"]).where((F.col("a") != F.col("leader")) & _near(F.col("_size"), F.col("leader_size"), num, den))
-    return own.union(beside.select("a", F.col("leader").alias("b"))).distinct()
+    most = lambda pairs: pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return most(own).union(most(beside.select("a", F.col("leader").alias("b"))))
 
 
 def _rest_pairs(index: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
@@ -221,24 +224,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return met.select("a", "b", (F.size("x") + F.size("y")).alias("both"), common.alias("common")).where((num + den) * F.col("common") >= num * F.col("both")).select("a", "b")
 
 
+def _rep() -> Column:
+    """The name of a class."""
+    return F.xxhash64("one", "two", "n_shingles")
+
+
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two link when den * common >= num * union."""
     spark = docs.sparkSession
-    table = written(_prefixes(docs.select("doc_id", "text"), n, num, den).withColumn("grp", F.xxhash64("prefix", "n_shingles")), "prefixes")
-    full = table.where("n_shingles > 0")
+    prefixes = written(_prefixes(docs.select("doc_id", "text"), n, num, den).withColumn("grp", F.xxhash64("prefix", "n_shingles")), "prefixes")
+    full = prefixes.where("n_shingles > 0")
     same = ["one", "two", "n_shingles"]
-    classes = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.min("grp").alias("grp")).withColumn("rep", F.xxhash64(*same))
+    classes = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.min("grp").alias("grp")).withColumn("rep", _rep())
     classes = written(classes, "classes")
     groups = written(full.groupBy("grp").agg(F.min("n_shingles").alias("size"), F.first("prefix").alias("prefix")), "groups")
+    table = written(prefixes.select("doc_id", *same), "marks")
+    drop(spark, prefixes)
     index = written(_index(groups, num, den), "index")
+    drop(spark, groups)
     led = classes.groupBy("grp").agg(F.min("rep").alias("leader"), F.count("*").alias("many"))
-    wide = classes.select("grp", "rep", "least", "one", "two").join(led, "grp")
+    wide = classes.select("grp", "rep", "least").join(led, "grp")
     indexed = index.select("grp").distinct().withColumn("_in", F.lit(True))
-    members = written(wide.join(indexed, "grp", "left").where("many > 1 OR _in").drop("_in", "many"), "members")
+    members = written(wide.join(indexed, "grp", "left").where("many > 1 OR _in").select("grp", "rep", "leader", "least"), "members")
     # The sets of classes that may link, each from the text of its least id.
-    wanted = members.select("rep", F.coalesce("least", F.lit(_NULL)).alias("least"), "one", "two")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("least"), "text").join(wanted.select("least").distinct(), "least")
-    sets = written(_set_rows(texts, n).join(wanted, ["least", "one", "two"]).select("rep", "set").dropDuplicates(["rep"]), "sets")
+    wanted = members.select(F.coalesce("least", F.lit(_NULL)).alias("least")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("least"), "text").join(wanted, "least")
+    found = _set_rows(texts, n).select(F.xxhash64("one", "two", F.size("set").cast("long")).alias("rep"), "set")
+    sets = written(found.where(F.size("set") > 0).dropDuplicates(["rep"]), "sets")
     name = members.select("grp", "rep", "leader")
     own = name.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
     stars = _star_pairs(index, num, den).join(name.select(F.col("grp").alias("a"), F.col("rep").alias("_a")), "a").join(name.where("rep = leader").select(F.col("grp").alias("b"), F.col("leader").alias("_b")), "b")
@@ -258,6 +271,6 @@ def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     alone = F.col("n_shingles") == 0
     out = table.select("doc_id", *same).join(ended, same, "left").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
     out = written(out, "joined")
-    for done in (table, classes, groups, index, members, sets, pairs, named, rest):
+    for done in (table, classes, index, members, sets, pairs, named, rest):
         drop(spark, done)
     return out
