@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: dict[str, str] = {}
 
 
@@ -37,12 +39,18 @@ def fresh(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
+    Meanwhile Python workers take ``ROWS`` rows at a time at most, as rows hold whole texts.
     A collection on the driver afterwards lets Spark's cleaner delete the step's shuffle files,
     which it does once the finished plan is garbage.
     """
     spark = df.sparkSession
     path = fresh(spark, tag)
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(rows), ROWS) if int(rows) > 0 else ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ a block (``BLOCK`` bytes, or one longer text).
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -51,8 +52,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns freed memory to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
 def freeing(run: Callable) -> Callable:
-    """A ``mapInArrow`` function that hands Arrow's unused memory back when its task ends."""
+    """A ``mapInArrow`` function that hands unused memory back when its task ends, as workers are reused."""
 
     @functools.wraps(run)
     def task(batches):
@@ -60,6 +67,7 @@ def freeing(run: Callable) -> Callable:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            _trim()(0)
 
     return task
 

@@ -11,7 +11,7 @@
    the prefix tokens that another group has too; groups with too few of those have no link.
 4. Group pairs come in two turns, as the result is components, not links. First every group meets
    the leader of most of its tokens (a token's leader is the group of near size that has it foremost), and leaders
-   of neighbouring sizes meet: two pairs a group at most, however many groups share a token. Then
+   of neighbouring sizes meet where a token is frequent: two pairs a group at most, however many groups share a token. Then
    groups that share a token and aren't connected yet meet, except within the component that most of the
    token's groups belong to: pairs are filtered by size, by the overlap that positions still allow, and by
    how many prefix tokens they share. No pair that may be a link between components is left out.
@@ -55,7 +55,7 @@ _NULL = -(1 << 63)
 
 def shared_tokens(size: int) -> int:
     """How many prefix tokens two linked sets share at least; it grows with the size."""
-    return max(1, min(SHARED, size // 4))
+    return max(1, min(SHARED, size // 4), size // SHARED)
 
 
 def _sets(batch: pa.RecordBatch, column: int, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -103,10 +103,10 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], order
 
 
-def _prefixes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Every row's set size, a 128-bit fingerprint of its set, and its prefix in the order."""
+def _prefixes(docs: DataFrame, n: int, num: int, den: int, shared) -> DataFrame:
+    """Every row's set size, a 128-bit fingerprint of its set, and its prefix in the order (shared: a broadcast of
+    ``frequent_tokens``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, n))  # FREQUENT tokens at most
 
     def run(batches):
         tokens, rank = shared.value
@@ -160,7 +160,7 @@ def _marks(x: np.ndarray) -> tuple[int, int]:
 
 def _enough(size: Column) -> Column:
     """``shared_tokens`` of a size."""
-    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(size / 4)))
+    return F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(size / 4)), F.floor(size / SHARED))
 
 
 def _index(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,13 +184,14 @@ def _near(a: Column, b: Column, num: int, den: int) -> Column:
 def _star_pairs(index: DataFrame, num: int, den: int) -> DataFrame:
     """Group pairs (a, b): every group and the leader of most of its tokens, of its own band of size and of the next."""
     band = F.floor(F.log("size") / float(np.log(den / num)) + 1e-9).cast("int")
-    index = index.select("token", band.alias("band"), "pos", "grp", "size")
-    first = index.groupBy("token", "band").agg(F.min(F.struct("pos", "grp", "size")).alias("l"), F.count("*").alias("n"))
-    leaders = written(first.select("token", "band", F.col("l.grp").alias("leader"), F.col("l.size").alias("leader_size"), "n"), "leaders")
+    index = index.select("token", band.alias("band"), "pos", "grp", "size", "many")
+    first = index.groupBy("token", "band").agg(F.min(F.struct("pos", "grp", "size")).alias("l"), F.count("*").alias("n"), F.first("many").alias("many"))
+    leaders = written(first.select("token", "band", F.col("l.grp").alias("leader"), F.col("l.size").alias("leader_size"), "n", "many"), "leaders")
     met = index.join(leaders.where("n > 1"), ["token", "band"]).where(F.col("grp") != F.col("leader"))
     own = met.where(_near(F.col("size"), F.col("leader_size"), num, den)).select(F.col("grp").alias("a"), F.col("leader").alias("b"))
-    above = leaders.select("token", (F.col("band") - 1).alias("band"), F.col("leader").alias("a"), F.col("leader_size").alias("_size"))
-    beside = leaders.join(above, ["token", "band"]).where((F.col("a") != F.col("leader")) & _near(F.col("_size"), F.col("leader_size"), num, den))
+    often = leaders.where(F.col("many") >= MAJOR)
+    above = often.select("token", (F.col("band") - 1).alias("band"), F.col("leader").alias("a"), F.col("leader_size").alias("_size"))
+    beside = often.join(above, ["token", "band"]).where((F.col("a") != F.col("leader")) & _near(F.col("_size"), F.col("leader_size"), num, den))
     most = lambda pairs: pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     return most(own).union(most(beside.select("a", F.col("leader").alias("b"))))
 
@@ -232,7 +233,9 @@ def _rep() -> Column:
 def join(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; two link when den * common >= num * union."""
     spark = docs.sparkSession
-    prefixes = written(_prefixes(docs.select("doc_id", "text"), n, num, den).withColumn("grp", F.xxhash64("prefix", "n_shingles")), "prefixes")
+    shared = spark.sparkContext.broadcast(frequent_tokens(docs, n))  # FREQUENT tokens at most
+    prefixes = written(_prefixes(docs.select("doc_id", "text"), n, num, den, shared).withColumn("grp", F.xxhash64("prefix", "n_shingles")), "prefixes")
+    shared.destroy()
     full = prefixes.where("n_shingles > 0")
     same = ["one", "two", "n_shingles"]
     classes = full.groupBy(*same).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.min("grp").alias("grp")).withColumn("rep", _rep())
