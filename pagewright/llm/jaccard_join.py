@@ -13,8 +13,8 @@
    the leader of most of its tokens (a token's leader is the group of near size that has it foremost), and leaders
    of neighbouring sizes meet where a token is frequent: two pairs a group at most, however many groups share a token. Then
    groups that share a token and aren't connected yet meet, except within the component that most of the
-   token's groups belong to: pairs are filtered by size, by the overlap that positions still allow, and by
-   how many prefix tokens they share. No pair that may be a link between components is left out.
+   token's groups belong to: pairs are filtered by size, and by what their positions leave after a token, which at
+   a link's first shared token is enough. No pair that may be a link between components is left out.
 5. Group pairs are expanded to their classes and verified: sets meet in joins, intersections are exact.
 
 Edge cases: null text, and text without words, has an empty set and links with nothing, so each
@@ -204,12 +204,12 @@ def _rest_pairs(index: DataFrame, parts: DataFrame, num: int, den: int) -> DataF
     major = written(major, "major")
     a = held.select("token", F.col("pos").alias("pa"), F.col("grp").alias("ga"), F.col("comp").alias("ca"), F.col("size").alias("sa")).join(major, "token", "left").where("major IS NULL OR ca <> major")
     b = held.select("token", F.col("pos").alias("pb"), F.col("grp").alias("gb"), F.col("comp").alias("cb"), F.col("size").alias("sb"))
-    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb")
-    met = a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("ca") < F.col("cb")) | F.coalesce(F.col("cb") == F.col("major"), F.lit(False))) & _near(F.col("sa"), F.col("sb"), num, den) & ((num + den) * most >= num * (F.col("sa") + F.col("sb"))))
-    # Which side a part is on depends on the token; a pair counts its tokens under one name.
+    # A link's first shared token has enough tokens from there on in both sets; at least there the pair is met.
+    enough = (num + den) * F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= num * (F.col("sa") + F.col("sb"))
+    met = a.join(b, "token").where((F.col("ca") != F.col("cb")) & ((F.col("ca") < F.col("cb")) | F.coalesce(F.col("cb") == F.col("major"), F.lit(False))) & _near(F.col("sa"), F.col("sb"), num, den) & enough)
+    # Which side a part is on depends on the token.
     ordered = F.when(F.col("ca") < F.col("cb"), F.struct("ga", "ca", "gb", "cb")).otherwise(F.struct(F.col("gb").alias("ga"), F.col("cb").alias("ca"), F.col("ga").alias("gb"), F.col("ca").alias("cb")))
-    met = met.select(ordered.alias("pair"), F.least("sa", "sb").alias("size")).select("pair.*", "size")
-    found = met.groupBy("ga", "ca", "gb", "cb").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(F.col("n") >= _enough(F.col("size"))).drop("n", "size")
+    found = met.select(ordered.alias("pair")).select("pair.*").distinct()
     # Parts of one group share the whole prefix.
     within = parts.groupBy("grp").agg(F.min("comp").alias("ca"), F.max("comp").alias("_top")).where("ca <> _top")
     own = parts.join(within, "grp").where("comp <> ca").select("grp", "ca", F.col("comp").alias("cb"))
