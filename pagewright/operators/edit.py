@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,30 +66,24 @@ def _gap(old: list[str], new: list[str], i0: int, j0: int, most: int, least: flo
 
 def align(old: list[str], new: list[str], most: int = 250_000, least: float = 0.35) -> list[tuple[str, int | None, int | None]]:
     """keep, edit, del and add operations that turn paragraphs ``old`` into ``new``."""
-    head = 0
-    while head < min(len(old), len(new)) and old[head] == new[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    a, b = old[head : len(old) - tail], new[head : len(new) - tail]
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    out = [("keep", k, k) for k in range(head)]
+    codes = {t: k for k, t in enumerate(dict.fromkeys([*old, *new]))}
+    y = np.array([codes[t] for t in new], np.int64)
+    table = np.zeros((len(old) + 1, len(new) + 1), np.int32)  # common paragraphs from (i, j) on
+    for i in range(len(old) - 1, -1, -1):
+        best = np.maximum(table[i + 1, :-1], table[i + 1, 1:] + (y == codes[old[i]]))
+        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    out: list[tuple[str, int | None, int | None]] = []
     i = j = si = sj = 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out += _gap(a[si:i], b[sj:j], head + si, head + sj, most, least) + [("keep", head + i, head + j)]
+    while i < len(old) and j < len(new):
+        if old[i] == new[j]:
+            out += [*_gap(old[si:i], new[sj:j], si, sj, most, least), ("keep", i, j)]
             i, j = i + 1, j + 1
             si, sj = i, j
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif table[i + 1, j] >= table[i, j + 1]:
             i += 1
         else:
             j += 1
-    out += _gap(a[si:], b[sj:], head + si, head + sj, most, least)
-    return out + [("keep", len(old) - tail + k, len(new) - tail + k) for k in range(tail)]
+    return out + _gap(old[si:], new[sj:], si, sj, most, least)
 
 
 def paragraph_diff(old: DataFrame, new: DataFrame, by: str) -> DataFrame:

@@ -59,9 +59,12 @@ f AS (SELECT *, CASE WHEN py IS NULL OR abs(ps - size) >= 0.5 OR py - y > 1.6 *
 p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY ord) AS para FROM f)"""
 
 
-@query("paragraphs", _T + _PARA + " SELECT doc_id, page, CAST(para AS BIGINT) AS para, CAST(count(*) AS INTEGER) AS n_lines, arg_min(" + _LEVEL.format(m="12.0") + ", ord) AS type, min(x0) AS x0, max(x1) AS x1, min(y) - 0.3 * arg_max(size, ord) AS y0, max(y) + arg_min(size, ord) AS y1 FROM p GROUP BY doc_id, page, para")
+_JOINED = "replace(regexp_replace(string_agg(text, chr(1) ORDER BY ord), '([a-zà-ÿ])-\\x01([a-zà-ÿ])', '\\1\\2', 'g'), chr(1), ' ')"
+
+
+@query("paragraphs", _T + _PARA + " SELECT doc_id, page, CAST(para AS BIGINT) AS para, CAST(count(*) AS INTEGER) AS n_lines, arg_min(" + _LEVEL.format(m="12.0") + ", ord) AS type, min(x0) AS x0, max(x1) AS x1, min(y) - 0.3 * arg_max(size, ord) AS y0, max(y) + arg_min(size, ord) AS y1, md5(CASE WHEN arg_min(" + _LEVEL.format(m="12.0") + ", ord) = 'li' THEN regexp_replace(" + _JOINED + ", '^\\s*([•\\-–*▪]|\\d+[.)])\\s+', '') ELSE " + _JOINED + " END) AS digest FROM p GROUP BY doc_id, page, para")
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.paragraphs(_body(spark, sf_dir), 12.0, ["doc_id", "page"]).drop("text")
+    return G.paragraphs(_body(spark, sf_dir), 12.0, ["doc_id", "page"]).withColumn("digest", F.md5("text")).drop("text")
 
 
 _COL = ", c AS (SELECT doc_id, page, idx, CASE WHEN idx % 2 = 1 THEN 320.0::DOUBLE ELSE 56.0::DOUBLE END AS x0 FROM body), b AS (SELECT doc_id, page, least(19, greatest(0, CAST(floor(x0 / (595.28::DOUBLE / 20)) AS INTEGER))) AS bin, count(*) AS n FROM c GROUP BY 1, 2, 3)"

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import geometry_queries, layout_queries, metric_queries, text_queries  # noqa: F401
+    from . import block_queries, geometry_queries, layout_queries, metric_queries, text_queries  # noqa: F401
 
 
 _load()

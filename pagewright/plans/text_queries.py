@@ -86,17 +86,11 @@ def column_gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "line_no", F.size(X.split_gaps(parts)).alias("pieces"))
 
 
-@query("hyphen_rejoin", "SELECT doc_id, md5(replace(text, chr(10), ' ')) AS digest FROM documents WHERE NOT contains(text, '-') AND text IS NOT NULL")
+@query("hyphen_rejoin", "SELECT doc_id, md5(regexp_replace(replace(text, 'e ', 'e- '), '([a-zà-ÿ])-\\s+([a-zà-ÿ])', '\\1\\2', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def hyphen_rejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60-character slices, hyphenated inside words, join to the text that they were cut from."""
-    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.contains(F.col("text"), F.lit("-"))).select("doc_id", flat.alias("flat"))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("flat") - 1) / 60).cast("int"))), lambda k: F.substring(F.col("flat"), 60 * k + 1, F.lit(60)))
-    inner = lambda a, b: a.rlike("[a-zà-ÿ]$") & b.rlike("^[a-zà-ÿ]")
-    pieces = F.transform(F.col("p"), lambda x, i: F.when((i < F.size("p") - 1) & inner(x, F.get("p", i + 1)), F.concat(x, F.lit("-"))).otherwise(x))
-    # where no letter is cut, the slices' own edge stands for the space between lines
-    glued = F.replace(F.regexp_replace(F.array_join("q", "\u0001"), "(?<=[a-zà-ÿ])-\u0001(?=[a-zà-ÿ])", ""), F.lit("\u0001"), F.lit(""))
-    return docs.select("doc_id", cut.alias("p")).select("doc_id", pieces.alias("q")).select("doc_id", F.md5(glued).alias("digest"))
+    """Whole texts with a hyphen put after words in -e."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.md5(X.rejoin_hyphens(F.replace(F.col("text"), F.lit("e "), F.lit("e- ")))).alias("digest"))
 
 
 @query("repeated_lines", "WITH " + LINES_SQL + " SELECT source, regexp_replace(lower(trim(text)), '\\d+', '#', 'g') AS template, count(*) AS n FROM lines WHERE trim(text) <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -170,9 +164,9 @@ def sentence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_sentences(made).select("doc_id", "first_line", "members", F.md5("text").alias("digest"))
 
 
-@query("dialogue_dash", "WITH " + LINES_SQL + ", l AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN '— ' || left(text, 30) ELSE left(text, 25) END AS text FROM lines), e AS (SELECT *, NOT regexp_matches(trim(text), '^[—«]') AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) <= 8 AND line_no > 0 AS eligible FROM l), g AS (SELECT *, sum(CASE WHEN eligible THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM e) SELECT doc_id, line_no, md5(CASE WHEN eligible AND regexp_matches(trim(first_value(text) OVER (PARTITION BY doc_id, grp ORDER BY line_no)), '^—') THEN '— ' || ltrim(text) ELSE text END) AS digest FROM g")
+@query("dialogue_dash", "WITH " + LINES_SQL + ", l AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN '— ' || text ELSE text END AS text FROM lines), e AS (SELECT *, NOT regexp_matches(trim(text), '^[—«]') AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) <= 8 AND line_no > 0 AS eligible FROM l), g AS (SELECT *, sum(CASE WHEN eligible THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS grp FROM e) SELECT doc_id, line_no, md5(CASE WHEN eligible AND regexp_matches(trim(first_value(text) OVER (PARTITION BY doc_id, grp ORDER BY line_no)), '^—') THEN '— ' || ltrim(text) ELSE text END) AS digest FROM g")
 def dialogue_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("— "), F.left("text", F.lit(30)))).otherwise(F.left("text", F.lit(25)))
+    t = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("— "), "text")).otherwise(F.col("text"))
     return B.restore_dashes(lines(spark, sf_dir).withColumn("text", t)).select("doc_id", "line_no", F.md5("text").alias("digest"))
 
 

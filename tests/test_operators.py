@@ -50,6 +50,8 @@ def test_settings():
 def test_align():
     assert edit.align(list("abcd"), list("acd")) == [("keep", 0, 0), ("del", 1, None), ("keep", 2, 1), ("keep", 3, 2)]
     assert edit.align(["a", "old text", "c"], ["a", "new text", "c"])[1] == ("edit", 1, 1)
+    assert edit.align(["x", "a", "a"], ["a"]) == [("del", 0, None), ("keep", 1, 0), ("del", 2, None)]
+    assert edit.align(list("aab"), list("ab")) == [("keep", 0, 0), ("del", 1, None), ("keep", 2, 1)]
     assert edit.align([], ["x"]) == [("add", None, 0)] and edit.align(["x"], []) == [("del", 0, None)] and edit.align([], []) == []
 
 
