@@ -2,7 +2,7 @@
 
 The vocabulary's pre-tokenizer never lets a piece hold white space, so a text's ids are the
 concatenation of the ids of its runs between ASCII white space. Each distinct run is encoded
-once and remembered by the worker, in two generations of ``CACHE`` bytes at most: when the
+once and remembered by the worker, in two generations of ``CACHE`` bytes (or as asked) at most: when the
 young one is full it becomes the old one, and what the old one held goes. In a run of Latin letters and signs the pre-tokenizer's pieces are its runs of letters
 and of others; their normalised forms go straight to the library's BPE model. All other runs
 take the whole library path, special tokens included.
@@ -61,8 +61,9 @@ def _part_stops(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class WordEncoder(dict):
     """bytes of a run -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         super().__init__()
+        self.most = most
         self.old: dict[bytes, bytes] = {}
         self.held = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -77,7 +78,7 @@ class WordEncoder(dict):
         if out is None:
             out = self._encode(run)
         self.held += _ENTRY + len(run) + len(out)
-        if self.held > CACHE:
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
             self.held = 0
@@ -128,6 +129,6 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = CACHE) -> WordEncoder:
     """The worker's encoder; it outlives a task where Python workers are reused."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)

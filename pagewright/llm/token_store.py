@@ -34,6 +34,8 @@ from ._scratch import fresh
 from ._tokens import default_vocabulary, encoder
 from ._words import blocks, freeing, raw
 
+#: Bytes of remembered runs: ranges of ids mix sources, so runs recur later than in the packing's scans.
+REMEMBERED = 48 << 20
 SEGMENT = 1 << 18
 LONGEST = 1 << 21
 _SCHEMA = "part int, segment int, start long, n long, codes binary, doc_ids array<long>, nulls array<boolean>, cuts array<long>, docs array<long>, more array<int>, split array<boolean>"
@@ -103,7 +105,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     vocabulary = vocabulary or default_vocabulary()
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, REMEMBERED)
         end = np.array([end_id], np.uint32)
         part, start, segment, number = TaskContext.get().partitionId(), 0, 0, 0
         held: list[np.ndarray] = []
