@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import decontaminate, jaccard_join, packing, quality, secrets
 from pagewright.llm._scratch import drop, written
+from pagewright.llm._tokens import CACHE
 
 #: SQL has no SimHash, trained vocabulary or packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -74,7 +75,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The placed token pieces of all documents."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remembered=CACHE)  # workers hold what four stages left
 
 
 STAGES = [

@@ -41,14 +41,16 @@ GROUPS = 128
 SHARES = (0.2, 0.25, 0.34, 1.0)
 #: Pieces of one length that one task ranks, about.
 RANKED = 1 << 18
+#: Bytes of encoded runs that a worker remembers; it has no part in the result.
+REMEMBERED = 48 << 20
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, remembered)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             offs = raw(batch.column(1))[1]
@@ -302,6 +304,6 @@ def pack(table: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     return ranked.mapInArrow(freeing(run), schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, remembered: int = REMEMBERED) -> DataFrame:
     """Cut documents into pieces of ``capacity`` tokens at most and pack them all."""
-    return pack(written(pieces(docs, vocabulary or default_vocabulary(), capacity), "pieces"), capacity, groups)
+    return pack(written(pieces(docs, vocabulary or default_vocabulary(), capacity, remembered=remembered), "pieces"), capacity, groups)
