@@ -74,6 +74,27 @@ def test_plan_packs_everything():
         assert sum(m for m, _ in classes) <= least * 1.02 + 2
 
 
+def best_fit_decreasing(lengths):
+    """Plain best fit, a sequence at a time."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        at = min((r for r in room if r >= n), default=None)
+        if at is None:
+            room.append(2048 - n)
+        else:
+            room[room.index(at)] = at - n
+    return len(room)
+
+
+def test_plan_needs_no_more_than_best_fit():
+    draws = [rng.choices(range(a, b), k=1500) for a, b in ((600, 1100), (500, 900), (800, 1300), (1, 2049), (1, 300))]
+    for lengths in [*draws, [700] * 100 + [900] * 100 + [1100] * 100 + [448] * 50]:
+        counts = np.bincount(lengths, minlength=2049)
+        used = sum(m for m, _ in packing.plan(counts))
+        assert packing.lower_bound(counts) <= used <= best_fit_decreasing(lengths)
+    assert sum(m for m, _ in packing.plan(np.bincount(draws[1], minlength=2049))) < 0.95 * best_fit_decreasing(draws[1])
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs).collect()
     bins = collections.defaultdict(list)
@@ -147,6 +168,22 @@ def test_sharding(docs, none, spark):
     assert sharding.shard_documents(none, 3).count() == 0
 
 
+def test_sharding_groups(spark):
+    """Equal texts share a shard, whatever their source or language, up to a whole shard's weight; cuts follow the dimensions."""
+    rows = [(k, f"copy {k % 40} " * 20 if k < 400 else prose(30), rng.choice(("en", "fr")), f"s{k % 7}") for k in range(3000)]
+    rows += [(5000 + k, "heavy " * 30, "en", "s1") for k in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("shard", F.lit("x")).withColumn("slot", F.lit(0.5))
+    found = sharding.shard_documents(table, 12).collect()
+    size, places = collections.Counter(), collections.defaultdict(set)
+    text = {d: t for d, t, *_ in rows}
+    for r in found:
+        size[r.shard] += r.size
+        places[text[r.doc_id]].add(r.shard)
+    assert len(found) == len(rows) and len(size) == 12
+    assert all(len(v) == 1 for t, v in places.items() if not t.startswith("heavy")) and len(places["heavy " * 30]) > 1
+    assert max(size.values()) <= 1.03 * sum(size.values()) / 12
+
+
 def components(rows, n, num, den):
     sets = [(d, set(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else {tuple(w)} if w else set()) for d, t in rows for w in [words(t)]]
     parent = list(range(len(sets)))
