@@ -4,8 +4,9 @@ A node holding k shards is split where the weight reaches the left half's share,
 whose span, as a share of its span in the whole table, is widest; leaves are single shards, which is
 when their bytes reach the target (total / shards). The weighted median is found by rounds of
 histograms over the distributed rows: each round buckets the keys between the current bounds,
-sums the weights, and narrows to the bucket that holds the cut. The driver sees ``BUCKETS`` rows
-a node and round at most. A cut is lexicographic (dimension, other dimensions, group, id), so that ties
+sums the weights, and narrows to the bucket that holds the cut. Where ``BUCKETS`` rows at most are left
+between the bounds, these rows decide the cut themselves. The driver sees ``BUCKETS`` rows a node and round
+at most. A cut is lexicographic (dimension, other dimensions, group, id), so that ties
 of any size are cut too.
 
 Groups (equal texts) stay together. Those of at least ``SINGLE`` of a shard's target go, heaviest first,
@@ -46,23 +47,29 @@ class _Node:
     keys: list[str] = field(default_factory=list)
     cut: list[int] = field(default_factory=list)
     span: tuple[int, int] | None = None
+    rows: int = 0
     left: _Node | None = None
     right: _Node | None = None
 
 
-def _goes_left(keys: list[str], cut: list[int]) -> Column:
-    """key <= cut, lexicographically; the cut may be shorter than the keys."""
-    test = F.col(keys[len(cut) - 1]) <= F.lit(cut[-1])
+def _goes_left(keys: list[str], cut: list[int]) -> str:
+    """SQL: key <= cut, lexicographically; the cut may be shorter than the keys."""
+    at = len(cut) - 1
+    test = f"{keys[at]} <= {cut[at]}L"
     for k, v in list(zip(keys, cut))[-2::-1]:
-        test = (F.col(k) < F.lit(v)) | ((F.col(k) == F.lit(v)) & test)
+        test = f"({k} < {v}L OR ({k} = {v}L AND {test}))"
     return test
 
 
 def _place(node: _Node, of) -> Column:
-    """An expression over the tree; ``of`` gives a leaf's value."""
-    if node.left is None:
-        return F.lit(of(node))
-    return F.when(_goes_left(node.keys, node.cut), _place(node.left, of)).otherwise(_place(node.right, of))
+    """An expression over the tree, parsed once; ``of`` gives a leaf's value."""
+
+    def sql(n: _Node) -> str:
+        if n.left is None:
+            return str(of(n))
+        return f"CASE WHEN {_goes_left(n.keys, n.cut)} THEN {sql(n.left)} ELSE {sql(n.right)} END"
+
+    return F.expr(sql(node))
 
 
 def _values(table: DataFrame, rows: list[tuple], kinds: str) -> DataFrame:
@@ -75,6 +82,35 @@ def _values(table: DataFrame, rows: list[tuple], kinds: str) -> DataFrame:
     return table.sparkSession.sql(f"SELECT {casts} FROM VALUES {lines} AS t({names})")
 
 
+def _between(rows: DataFrame, state: list[tuple]) -> DataFrame:
+    """Rows (_node, _weight, _tail: keys after the cut so far) that lie within their node's bounds, with these."""
+    asked = F.broadcast(_values(rows, state, "_node int, _order array<int>, _cut array<bigint>, _low bigint, _high bigint"))  # a row a node
+    mine = F.transform("_order", lambda i: F.get("_keys", i))
+    own = rows.join(asked, "_node").withColumn("_mine", mine).where(F.slice("_mine", 1, F.size("_cut")) == F.col("_cut"))
+    own = own.select("_node", "_weight", "_low", "_high", F.slice("_mine", F.size("_cut") + 1, F.size("_mine")).alias("_tail"))
+    return own.where(F.col("_low").isNull() | F.get("_tail", F.lit(0)).between(F.col("_low"), F.col("_high")))
+
+
+def _finish(rows: list[tuple[list[int], int]], below: int, want: float, whole: float) -> tuple[list[int], int]:
+    """The cut among rows (keys, weight) and the weight at or below it; rows alike in all keys but the last
+    stay together where they weigh less than ``whole``."""
+    groups: dict[tuple, dict[int, int]] = {}
+    for tail, w in rows:
+        ids = groups.setdefault(tuple(tail[:-1]), {})
+        ids[tail[-1]] = ids.get(tail[-1], 0) + w
+    units: list[tuple[tuple, int]] = []
+    for g in sorted(groups):
+        w = sum(groups[g].values())
+        units += [(g, w)] if g and w < whole else [((*g, i), groups[g][i]) for i in sorted(groups[g])]
+    for k, (unit, w) in enumerate(units):
+        if below + w >= want or k == len(units) - 1:
+            break
+        below += w
+    if below + w - want >= want - below and below > 0:  # the nearer side: this one goes right
+        return [*unit[:-1], unit[-1] - 1], below
+    return list(unit), below + w
+
+
 def _cuts(table: DataFrame, root: _Node, nodes: list[_Node], room: list[float], target: float) -> None:
     """Find the cut of every node, a histogram for all of them in each round; room: what each shard can take."""
     names = nodes[0].keys
@@ -84,25 +120,20 @@ def _cuts(table: DataFrame, root: _Node, nodes: list[_Node], room: list[float],
     want = {k: n.weight * share(n) for k, n in enumerate(nodes)}
     below = dict.fromkeys(want, 0)
     bounds: dict[int, tuple[int, int] | None] = {k: n.span for k, n in enumerate(nodes)}
-    going = set(want)
+    state = lambda ks: [(k, [names.index(x) for x in nodes[k].keys], nodes[k].cut, *(bounds[k] or (None, None))) for k in sorted(ks)]
+    few = {k for k, n in enumerate(nodes) if n.rows <= BUCKETS}
+    going = set(want) - few
     while going:
-        state = []
-        for k in sorted(going):
-            n = nodes[k]
-            low, high = bounds[k] or (None, None)
-            state.append((k, [names.index(x) for x in n.keys], n.cut, low, high))
-        asked = F.broadcast(_values(table, state, "_node int, _order array<int>, _cut array<bigint>, _low bigint, _high bigint"))  # a row a node
-        mine = F.transform("_order", lambda i: F.get("_keys", i))
-        own = rows.join(asked, "_node").withColumn("_mine", mine).where(F.slice("_mine", 1, F.size("_cut")) == F.col("_cut"))
-        own = own.select("_node", "_weight", "_low", "_high", F.get("_mine", F.size("_cut")).alias("_key")).where(F.col("_low").isNull() | F.col("_key").between(F.col("_low"), F.col("_high")))
+        asked = state(going)
+        own = _between(rows, asked).withColumn("_key", F.get("_tail", F.lit(0)))
         # doubles are exact enough for buckets: bounds come from the keys found in them
         bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.col("_key") - F.col("_low")).cast("double") * BUCKETS / ((F.col("_high") - F.col("_low")).cast("double") + 1)))
         found: dict[int, list] = {}
-        for r in own.groupBy("_node", F.coalesce(bucket, F.lit(0)).alias("_bucket")).agg(F.sum("_weight").alias("w"), F.min("_key").alias("a"), F.max("_key").alias("b")).collect():
-            found.setdefault(r["_node"], []).append((r["_bucket"], r["w"], r["a"], r["b"]))
-        for k, _, _, a, _ in state:
+        for r in own.groupBy("_node", F.coalesce(bucket, F.lit(0)).alias("_bucket")).agg(F.sum("_weight").alias("w"), F.min("_key").alias("a"), F.max("_key").alias("b"), F.count("*").alias("n")).collect():
+            found.setdefault(r["_node"], []).append((r["_bucket"], r["w"], r["a"], r["b"], r["n"]))
+        for k, _, _, a, _ in asked:
             n = nodes[k]
-            for _, w, x, y in sorted(found[k]):
+            for _, w, x, y, many in sorted(found[k]):
                 if a is None or below[k] + w >= want[k]:
                     break
                 below[k] += w
@@ -122,6 +153,15 @@ def _cuts(table: DataFrame, root: _Node, nodes: list[_Node], room: list[float],
                     else:
                         below[k] += w
                     going.discard(k)
+            if k in going and many <= BUCKETS:
+                few.add(k)
+                going.discard(k)
+    left: dict[int, list] = {k: [] for k in few}
+    for r in _between(rows, state(few)).select("_node", "_tail", "_weight").collect() if few else []:  # BUCKETS rows a node at most
+        left[r["_node"]].append((r["_tail"], r["_weight"]))
+    for k in few:
+        tail, below[k] = _finish(left[k], below[k], want[k], SINGLE * target)
+        nodes[k].cut += tail
     for k, n in enumerate(nodes):
         h = n.shards // 2
         n.left, n.right = _Node(h, below[k], n.first), _Node(n.shards - h, n.weight - below[k], n.first + h)
@@ -162,7 +202,7 @@ def shard(rows: DataFrame, shards: int, dimensions: list[str], weight: str, row_
     level = [root] if root.weight > 0 and shards > 1 else []
     while level:
         at = {id(n): k for k, n in enumerate(level)}
-        spans = {r["_node"]: r for r in loose.withColumn("_node", _place(root, lambda n: at.get(id(n), -1))).where("_node >= 0").groupBy("_node").agg(*ends).collect()}
+        spans = {r["_node"]: r for r in loose.withColumn("_node", _place(root, lambda n: at.get(id(n), -1))).where("_node >= 0").groupBy("_node").agg(F.count("*").alias("n"), *ends).collect()}
         level = [n for k, n in enumerate(level) if k in spans]
         if not level:
             break
@@ -170,7 +210,7 @@ def shard(rows: DataFrame, shards: int, dimensions: list[str], weight: str, row_
             r = spans[at[id(n)]]
             share = {k: (r[f"b{k}"] - r[f"a{k}"]) / max(1, whole[f"b{k}"] - whole[f"a{k}"]) for k in own}
             widest = max(own, key=lambda k: share[k])
-            n.span = (r[f"a{widest}"], r[f"b{widest}"])
+            n.span, n.rows = (r[f"a{widest}"], r[f"b{widest}"]), r["n"]
             n.keys = [widest, *(k for k in own if k != widest), *ties, "_id"]
         _cuts(loose, root, level, room, target)
         level = [x for n in level for x in (n.left, n.right) if x.shards > 1 and x.weight]

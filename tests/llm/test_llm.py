@@ -154,7 +154,26 @@ def test_secrets(docs, none):
     assert kept.columns == docs.columns and kept.where("text LIKE '%AKIAABC%'").count() == 0 and kept.count() == len(ROWS)
 
 
-def test_sharding(docs, none, spark):
+def test_sharding_last_cut():
+    """The cut among a node's last rows is the nearest to the wanted weight that parts no light group."""
+    for _ in range(300):
+        rows = [([rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 9)], rng.randint(1, 9)) for _ in range(rng.randint(1, 40))]
+        below, whole = rng.choice((0, 25)), rng.choice((0, 12, 1000))
+        want = below + rng.uniform(0, 1) * sum(w for _, w in rows)
+        cut, found = sharding._finish(rows, below, want, whole)
+        assert found == below + sum(w for k, w in rows if tuple(k[: len(cut)]) <= tuple(cut))
+        group = collections.Counter()
+        for k, w in rows:
+            group[tuple(k[:2])] += w
+        unit = lambda k: tuple(k[:2]) if group[tuple(k[:2])] < whole else tuple(k)
+        order = sorted({unit(k) for k, _ in rows})
+        sums = [below + sum(w for k, w in rows if unit(k) <= u) for u in order]
+        assert abs(found - want) <= min(abs(s - want) for s in sums) + 1e-9
+
+
+@pytest.mark.parametrize("buckets", [16, sharding.BUCKETS])
+def test_sharding(docs, none, spark, monkeypatch, buckets):
+    monkeypatch.setattr(sharding, "BUCKETS", buckets)
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.repeat(F.lit("x"), (F.col("id") % 97).cast("int"))).alias("text"))
     for table, n in ((docs, 3), (many, 24)):
         rows = sharding.shard_documents(table, n).collect()
