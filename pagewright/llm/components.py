@@ -2,7 +2,8 @@
 
 Each round sends every node's smallest neighbour to its larger neighbours and to itself (large
 star), then links smaller neighbours to the smallest (small star). Rounds follow the logarithm
-of the longest chain. Edges stay distributed; the driver sees two counts a round.
+of the longest chain, and end when every node has one smaller neighbour that has none itself. Edges stay
+distributed; the driver sees one row a round.
 """
 
 from __future__ import annotations
@@ -24,18 +25,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct().where("a <> b")
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes with several smaller neighbours, or with both smaller and larger ones."""
+    ends = edges.select(F.col("a").alias("node"), "b").union(edges.select(F.col("b").alias("node"), F.lit(None).cast(edges.schema["b"].dataType)))
+    seen = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max(F.col("b").isNull()).alias("root"))
+    return seen.where("low < high OR (low IS NOT NULL AND root)")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): every node of ``edges`` (a, b) with the smallest node that it reaches."""
     spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    size = (-1, -1)
-    while True:
-        after = written(_star(_star(now, True), False), "edges")
-        found = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        drop(spark, now)
-        now = after
-        if tuple(found) == size:
-            break
-        size = tuple(found)
+    while _unsettled(now).limit(1).count():
+        before, now = now, written(_star(_star(now, True), False), "edges")
+        drop(spark, before)
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))

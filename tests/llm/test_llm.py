@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.llm import _words, decontaminate, html_text, jaccard_join, licenses, packing, quality, secrets, sharding, suffix_dedup, token_store
+from pagewright.llm import components as graph
 from pagewright.llm._tokens import default_vocabulary, encoder
 
 SF = "/root/testdata/sf0.001"
@@ -237,6 +238,19 @@ def test_jaccard_join(docs, none, spark):
     assert jaccard_join.join(none, 3, 90, 100).count() == 0
 
 
+def test_components(spark):
+    """Chains, stars, rings and lone pairs: every node with the smallest that it reaches."""
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 9)] + [(200 + k, 200 + (k + 1) % 5) for k in range(5)] + [(rng.randint(300, 360), rng.randint(300, 360)) for _ in range(40)]
+    reach = {x: {x} for e in edges for x in e if e[0] != e[1]}
+    for _ in reach:
+        for a, b in edges:
+            if a != b:
+                reach[a] = reach[b] = reach[a] | reach[b]
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, min(y)) for x, y in reach.items())
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_chains(spark):
     """Chains whose ends don't link, clusters across sizes, and passages shared by unlike texts."""
     rows = []
