@@ -65,12 +65,14 @@ def paragraphs(lines: DataFrame, modal: float, by: list[str], interline: float =
     order = Window.partitionBy(*by).orderBy(F.desc("y"), "x0", "idx")
     before = lambda c: F.lag(c).over(order)
     right = F.max("x1").over(Window.partitionBy(*by))
-    text, last = F.trim("text"), F.trim(before("text"))
+    bare = F.regexp_replace("text", r"^\p{Zs}+|\p{Zs}+\z", "")  # no-break spaces go as well, tabs stay
+    last = F.lag(bare).over(order)
     gap = before("y") - F.col("y")
-    word = F.length(F.get(F.split(text, r"\s+"), F.lit(0)))
+    word = F.length(F.get(F.split(bare, r"[ \t\n\f\r]+"), F.lit(0)))
     advance = (F.col("x1") - F.col("x0")) / F.greatest(F.lit(1), F.length("text"))
-    forced = (before("size") <= modal * 1.15) & ~last.rlike("-$") & (right - before("x1") > 1.3 * word * advance + 0.3 * before("size"))
-    fact = ~last.rlike(r"[.!?]\s*$") & ~F.ltrim("text").rlike("^[a-zà-öø-ÿ]")
+    needed = word * 13 / 10 * advance  # the decimal 1.3 word, rounded once; 1.3 as a double moves lines that just fit
+    forced = (before("size") <= modal * 1.15) & ~last.rlike(r"-\z") & (right - before("x1") > needed + 0.3 * before("size"))
+    fact = ~last.rlike(r"[.!?][ \t\n\f\r]*\z") & ~bare.rlike("^[a-zà-öø-ÿ]")
     new = before("y").isNull() | (F.abs(before("size") - F.col("size")) >= 0.5) | (gap > 1.6 * interline * before("size")) | (gap <= 0) | X.is_list_item(F.col("text")) | fact | forced
     numbered = lines.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("para", F.sum("_new").over(order)).withColumn("_o", F.row_number().over(order))
     row = F.struct("_o", "text", "size", "x0", "x1", "y")
