@@ -106,25 +106,3 @@ def normalize_nfc(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def normalize_nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
-def contained_duplicates(docs: DataFrame, least: int = 10) -> DataFrame:
-    """doc_id, duplicate_of: texts within an earlier text of the same source that is no duplicate.
-
-    Containment is tested only between texts that share a probe: the first ``least`` characters of
-    the shorter one, which the longer one must hold at some place. Probes are short, so equal
-    texts are collapsed to the first of each source before.
-    """
-    norm = docs.select("source", "doc_id", normalize_nfd("text").alias("norm")).where(F.length("norm") >= least)
-    heads = norm.groupBy("source", "norm").agg(F.min("doc_id").alias("doc_id"))
-    probe = heads.select("source", "doc_id", "norm", F.left("norm", F.lit(least)).alias("probe"))
-    wanted = probe.select("source", "probe").distinct()
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - (least - 1)), lambda k: F.substring(F.col("norm"), k, F.lit(least))))
-    places = heads.select("source", F.col("doc_id").alias("holder"), F.explode(cuts).alias("probe")).join(wanted, ["source", "probe"], "left_semi")
-    met = places.join(probe.select("source", "probe", "doc_id"), ["source", "probe"]).where("holder <> doc_id").select("source", "holder", "doc_id").distinct()
-    texts = met.join(heads.select("source", F.col("doc_id").alias("holder"), F.col("norm").alias("longer")), ["source", "holder"]).join(heads, ["source", "doc_id"])
-    pairs = texts.where((F.col("longer") != F.col("norm")) & F.contains("longer", "norm")).select("source", "holder", "norm")
-    own = heads.select("source", F.col("doc_id").alias("holder"), "norm")
-    rows = norm.join(own.unionByName(pairs), ["source", "norm"]).where("holder < doc_id").select("doc_id", "holder").distinct()
-    flagged = rows.select(F.col("doc_id").alias("holder")).distinct()
-    return rows.join(flagged, "holder", "left_anti").groupBy("doc_id").agg(F.min("holder").alias("duplicate_of"))

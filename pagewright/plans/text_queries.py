@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import blocks as B
+from ..operators.contained import contained_duplicates
 from .adapters import LINES_SQL, lines, table
 from .registry import query
 
@@ -154,7 +155,7 @@ _NORM = "regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]', '', 'g')"
 
 @query("region_duplicates", f"WITH n AS (SELECT source, doc_id, {_NORM} AS norm FROM documents), ok AS (SELECT * FROM n WHERE length(norm) >= 10) SELECT b.doc_id, min(a.doc_id) AS duplicate_of FROM ok a JOIN ok b ON a.source = b.source AND a.doc_id < b.doc_id AND contains(a.norm, b.norm) WHERE NOT EXISTS (SELECT 1 FROM ok c WHERE c.source = a.source AND c.doc_id < a.doc_id AND contains(c.norm, a.norm)) GROUP BY b.doc_id")
 def region_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.contained_duplicates(table(spark, sf_dir, "documents"))
+    return contained_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("sentence_merge", "WITH " + LINES_SQL + ", l AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 1 THEN lower(left(text, 1)) || substr(text, 2) ELSE CASE WHEN line_no % 3 = 0 THEN rtrim(text, '.') ELSE text END END AS text FROM lines), f AS (SELECT *, CASE WHEN NOT regexp_matches(lag(text) OVER w, '[.!?…:»\"][''\"’]?\\s*$') AND regexp_matches(text, '^[a-zà-ÿ]') THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM f) SELECT doc_id, CAST(min(line_no) AS INTEGER) AS first_line, count(*) AS members, md5(string_agg(CASE WHEN keep THEN rtrim(text) ELSE text END, ' ' ORDER BY line_no)) AS digest FROM (SELECT *, line_no < max(line_no) OVER (PARTITION BY doc_id, block) AS keep FROM g) GROUP BY doc_id, block")
